@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, shard, simhash
+from . import chat, exact_dedup, mixing, shard, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op6_chat_format": chat.op6_chat_format,
     "op9_sharding": shard.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
 }
@@ -14,4 +16,5 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_mixing": mixing.SQL,
+    "op6_chat_format": chat.SQL,
 }
