@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, shard, simhash, toxicity
+from . import chat, exact_dedup, lm, mixing, shard, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_lm_score": lm.op7_lm_score,
     "op9_sharding": shard.op9_sharding,
     "op10_simhash": simhash.op10_simhash,
 }
