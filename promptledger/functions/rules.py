@@ -259,7 +259,8 @@ def payload_text(messages: Column) -> Column:
 def parse_verdict(reply: Column, action: str = "block") -> Column:
     """A judge's reply, JSON of trip and reason within an optional fence: struct(trip, reason, error). What cannot be read
     is an error, which the gate counts as a trip."""
-    t = F.trim(F.regexp_replace(F.trim(reply), r"(?is)^```(?:json)?(.*?)(?:```.*)?$", "$1"))
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = bare(F.regexp_replace(bare(reply), r"(?is)^```(?:json)?(.*?)(?:```.*)?$", "$1"))
     obj = F.from_json(t, "trip boolean, reason string")
     bad = ~F.coalesce(t.startswith("{"), F.lit(False)) | obj["trip"].isNull()
     reason = F.when(obj["trip"], F.coalesce(F.when(obj["reason"] != "", obj["reason"]), F.lit("judge tripped")))

@@ -7,14 +7,16 @@ window over entries that are hashed in place.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import GENESIS, canonical_json, chain_hash, meta_signature, sign
+from ..functions.hashing import GENESIS, canonical, canonical_json, chain_hash, meta_signature, sign
 from .fold import ordered_fold
 
 ENTRY = [T.StructField("seq", T.LongType()), T.StructField("ts", T.StringType()), T.StructField("type", T.StringType()), T.StructField("payload", T.StringType()),
@@ -61,8 +63,6 @@ def checked(entries: DataFrame, key: str | None = None) -> DataFrame:
     out = entries.withColumn("_before", before).withColumn("_own", own)
     bad = F.when(~F.col("prev_hash").eqNullSafe(F.col("_before")), "broken link").when(~F.col("hash").eqNullSafe(F.col("_own")), "tampered entry")
     if key is not None:
-        import pandas as pd
-
         @F.pandas_udf(T.StringType())
         def signature(hashes: pd.Series) -> pd.Series:
             return hashes.map(lambda h: sign(key, h or ""))
@@ -91,19 +91,13 @@ def verify(entries: DataFrame, key: str | None = None, expected: DataFrame | Non
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, dict | None]:
     """An audit file -> entries (chain_id: the path) and its header. Payloads become canonical again from the raw line; a
     line that is no JSON object fails the read."""
-    import json
-
     lines = spark.read.option("lineSep", "\n").text(path).withColumn("line_no", F.monotonically_increasing_id()).filter("trim(value) <> ''")
     head = lines.filter(F.get_json_object("value", "$._meta").isNotNull()).orderBy("line_no").limit(1).collect()
     meta = json.loads(head[0]["value"])["_meta"] if head else None
     fields = T.StructType([*ENTRY[:3], *ENTRY[4:]])
 
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def payload(values: pd.Series) -> pd.Series:
-        from ..functions.hashing import canonical
-
         return values.map(lambda v: canonical(json.loads(v)["payload"]))
 
     rows = lines.filter(F.get_json_object("value", "$._meta").isNull())
@@ -199,8 +193,6 @@ def controls_covered(entries: DataFrame, framework: str) -> DataFrame:
 
 def export(entries: DataFrame, path: str, framework: str, system: str, risk_tier: str, key: str | None = None) -> None:
     """An evidence pack of one chain: a header, then the entries in order with their controls, as JSON lines."""
-    import json
-
     spark = entries.sparkSession
     head = entries.agg(F.max_by("hash", "seq"), F.count(F.lit(1))).first()
     covered = sorted(r[0] for r in controls_covered(entries, framework).select("control").distinct().collect())  # a framework's controls
