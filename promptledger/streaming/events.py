@@ -5,13 +5,13 @@ The same functions read batch tables: what is a Column or DataFrame expression i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import spend
 from ..sources.tables import MONEY
@@ -73,82 +73,53 @@ def spend_stream(df: DataFrame, tags: list[str]) -> DataFrame:
 FINAL = T.StructType([T.StructField("call_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("chunks", T.LongType()), T.StructField("ttft_ms", T.DoubleType()), T.StructField("complete", T.BooleanType())])
 
 
-class Finalise(StatefulProcessor):
-    """Chunks of streamed responses -> one row per call, at its end mark or, without one, when ``timeout_ms`` pass."""
-
-    def __init__(self, timeout_ms: int = 60_000):
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.parts = handle.getListState("parts", "seq long, text string")
-        self.head = handle.getValueState("head", "started long, first long, done boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        started, first, done = self.head.get() if self.head.exists() else (None, None, False)
-        if done:  # delivered already: late chunks do not count twice
-            return
-        ended, now = False, timerValues.getCurrentProcessingTimeInMs()
-        for pdf in rows:
-            for r in pdf.itertuples():
-                self.parts.appendValue((int(r.seq), r.text or ""))
-                at = int(pd.Timestamp(r.ts).value // 1_000_000)
-                started = int(r.started_ms) if started is None else started
-                first = at if first is None else min(first, at)
-                ended = ended or bool(r.last)
-        self.head.update((started, first, ended))
-        if ended:
-            yield self._row(key, True)
-        else:
-            self.handle.registerTimer(now + self.timeout_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.head.exists() and not self.head.get()[2]:
-            started, first, _ = self.head.get()
-            self.head.update((started, first, True))
-            yield self._row(key, False)
-
-    def _row(self, key, complete: bool) -> pd.DataFrame:
-        parts = sorted(set(self.parts.get()))
-        started, first, _ = self.head.get()
-        self.parts.clear()
-        ttft = None if first is None or started is None else float(first - started)
-        return pd.DataFrame([(key[0], "".join(t for _, t in parts), len(parts), ttft, complete)], columns=FINAL.names)
-
-    def close(self) -> None:
-        pass
-
-
 def finalise(chunks: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """chunks: call_id, seq, text, ts, started_ms, last."""
-    return chunks.groupBy("call_id").transformWithStateInPandas(statefulProcessor=Finalise(timeout_ms), outputStructType=FINAL, outputMode="Append", timeMode="ProcessingTime")
-
+    """chunks (call_id, seq, text, ts, started_ms, last) of streamed responses -> one row per call, at its end mark or,
+    without one, when ``timeout_ms`` pass without a chunk. Late chunks of a finished call do not count again."""
+
+    def run(key, batches, state):
+        parts, first, started, done = state.get if state.exists else ("{}", None, None, False)
+        texts = json.loads(parts)
+        if state.hasTimedOut:
+            if done:
+                state.remove()
+                return
+            ended, complete = True, False
+        else:
+            ended = complete = False
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    texts[str(r.seq)] = r.text or ""
+                    at = int(pd.Timestamp(r.ts).timestamp() * 1000)
+                    first = at if first is None else min(first, at)
+                    started = int(r.started_ms) if started is None else started
+                    ended = complete = ended or bool(r.last)
+            if done:
+                return
+        state.update(("{}" if ended else json.dumps(texts), first, started, ended))
+        state.setTimeoutDuration(timeout_ms)
+        if ended:
+            text = "".join(texts[k] for k in sorted(texts, key=int))
+            ttft = None if first is None or started is None else float(first - started)
+            yield pd.DataFrame([(key[0], text, len(texts), ttft, complete)], columns=FINAL.names)
 
-class Block(StatefulProcessor):
-    """A running budget per scope that refuses calls before they run: a refused call does not accrue."""
+    state = "parts string, first long, started long, done boolean"
+    return chunks.groupBy("call_id").applyInPandasWithState(run, FINAL, state, "append", "ProcessingTimeTimeout")
 
-    def __init__(self, cap_tokens: int, reserve: int = 256):
-        self.cap, self.reserve = cap_tokens, reserve
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spent = handle.getValueState("spent", "tokens long")
+def block_stream(calls: DataFrame, scope: str, cap_tokens: int, reserve: int = 256) -> DataFrame:
+    """A running budget per scope that refuses calls before they run; a refused call does not accrue. calls: scope,
+    order_key, input_tokens, output_tokens; decided in order within a micro-batch and across them."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spent = int(self.spent.get()[0]) if self.spent.exists() else 0
-        all_rows = pd.concat(list(rows)).sort_values("order_key")
+    def run(key, batches, state):
+        spent = state.get[0] if state.exists else 0
         out = []
-        for r in all_rows.itertuples():
-            blocked = spent + r.input_tokens + self.reserve > self.cap
-            spent += 0 if blocked else r.input_tokens + r.output_tokens
+        for r in pd.concat(list(batches)).sort_values("order_key").itertuples():
+            blocked = spent + r.input_tokens + reserve > cap_tokens
+            spent += 0 if blocked else int(r.input_tokens + r.output_tokens)
             out.append((str(key[0]), int(r.order_key), "blocked" if blocked else "run", int(spent)))
-        self.spent.update((int(spent),))
+        state.update((int(spent),))
         yield pd.DataFrame(out, columns=["scope", "order_key", "action", "spent_tokens"])
 
-    def close(self) -> None:
-        pass
-
-
-def block_stream(calls: DataFrame, scope: str, cap_tokens: int, reserve: int = 256) -> DataFrame:
-    """calls: scope, order_key, input_tokens, output_tokens; decided in order within a micro-batch and across them."""
     schema = "scope string, order_key long, action string, spent_tokens long"
-    return calls.groupBy(scope).transformWithStateInPandas(statefulProcessor=Block(cap_tokens, reserve), outputStructType=schema, outputMode="Append", timeMode="None")
+    return calls.groupBy(scope).applyInPandasWithState(run, schema, "spent long", "append", "NoTimeout")
