@@ -23,13 +23,11 @@ SNAPSHOT = [
 ]
 
 
-def _d(x):
-    return None if x is None else Decimal(str(x))
-
-
 def snapshot(spark: SparkSession, asof: str | None = None) -> DataFrame:
-    rows = [(m, *map(_d, r), "snapshot", None, False) for m, *r in SNAPSHOT]
-    df = spark.createDataFrame(rows, SCHEMA)
+    """The built-in rates as a literal relation: known while planning, so joins with it need no job of their own."""
+    rate = lambda x: f"CAST({'NULL' if x is None else x} AS DECIMAL(18,12))"
+    rows = ", ".join(f"('{m}', {', '.join(map(rate, r))}, 'snapshot', CAST(NULL AS DATE), false)" for m, *r in SNAPSHOT)
+    df = spark.sql(f"SELECT * FROM VALUES {rows} AS t(model, input, output, cached, cache_write, src, asof, registered)")
     return df if asof is None else df.withColumn("asof", F.lit(asof).cast("date"))
 
 
