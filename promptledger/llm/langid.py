@@ -64,10 +64,18 @@ class TextModel:
 def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> TextModel:
     """From at most ``sample`` documents of each language (null languages and texts over ``chars`` are not drawn)."""
     known = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= chars)).select("doc_id", "lang", "text")
-    names = sorted(r[0] for r in known.select("lang").distinct().collect())
-    rows = []
-    for name in names:
-        rows += known.filter(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    counts = known.groupBy("lang").count().collect()  # a row per language
+    if not counts:
+        return TextModel([], [])
+    # each language's share by hash holds some more than the sample, so this is all that leaves the executors
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(-(-1_300_000 * sample // r["count"])))])
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    drawn = known.withColumn("key", key).filter(F.col("key") < share[F.col("lang")]).collect()
+    rows, taken = [], dict.fromkeys((r["lang"] for r in counts), 0)
+    for r in sorted(drawn, key=lambda r: (r["key"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
+        if taken[r.lang] < sample:
+            taken[r.lang] += 1
+            rows.append(r)
     return TextModel([r.text for r in rows], [r.lang for r in rows])
 
 
