@@ -3,9 +3,10 @@
 A 64-bit SimHash joined within four differing bits finds what is nearly identical, but of pairs at a similarity of 0.8
 to 0.95 it links only some (expected differing bits at 0.8: ten). So the fingerprint links of the trie self-join are one
 source of candidates, and the least hashes of a document's shingles another: two documents 0.8 similar share at least
-two of their six least hashes with probability above 0.99. Each pair of least hashes is a key, and the documents of a
-key are linked to the first of them and to the one before, so candidates stay linear in the documents, however large a
-group. Every candidate is verified by the exact Jaccard similarity of the shingle sets, and verified links make groups.
+two of their six least hashes with probability above 0.99. Each pair of least hashes is a key. The documents
+of a key are linked to the first of them and, in the order of their greatest hash, to the one before, so candidates stay
+linear in the documents, however large a group, and what else is alike lies side by side. A key's first comes from an
+aggregation; the order is taken in runs of ``RUN`` documents, so no task holds a whole key. Every candidate is verified by the exact Jaccard similarity of the shingle sets, and verified links make groups.
 """
 
 from __future__ import annotations
@@ -24,21 +25,25 @@ from .simhash import components, fingerprint, shingle_hashes, trie_edges, words
 
 SHINGLE, SIMILARITY, DISTANCE, LEAST = 5, 0.8, 4, 6
 
+#: Documents of a key that are put in order together, on average.
+RUN = 1000
+
 
 def _sketch(batches):
     for b in batches:
-        fp, digest, keys = [], [], []
+        fp, digest, keys, top = [], [], [], []
         for t in b.column(1):
             w = words(t.as_py())
             h = shingle_hashes(w, SHINGLE)
             least = np.unique(h)[:LEAST].tolist()
             pairs = combinations(least, 2) if len(least) > 1 else [(x, x) for x in least]
             fp.append(fingerprint(h))
+            top.append(int(h.max()) - (1 << 63) if len(h) else 0)
             digest.append(xxhash.xxh3_128_digest(b" ".join(w)))
             keys.append([xxhash.xxh64_intdigest(b"%d %d" % p) - (1 << 63) for p in pairs])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["row", "doc_id", "fp", "digest", "keys"])
+            [b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(top, pa.int64())],
+            names=["row", "doc_id", "fp", "digest", "keys", "top"])
 
 
 def _sets(batches):
@@ -60,15 +65,19 @@ def _verify(batches):
 def near_groups(docs: DataFrame) -> DataFrame:
     """Frozen ``docs`` (doc_id, text, row; row unique) -> (row, first): ``first`` is the row that stands for the
     document's group, the one of its smallest doc_id, then row; null doc_ids stand last."""
-    rows = freeze(docs.select("row", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_sketch, "row long, doc_id long, fp long, digest binary, keys array<long>"), "near-rows")
+    rows = freeze(docs.select("row", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_sketch, "row long, doc_id long, fp long, digest binary, keys array<long>, top long"), "near-rows")
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     copies = freeze(rows.groupBy("digest").agg(order.alias("o"), F.count(F.lit(1)).alias("n")).select("digest", F.col("o.row").alias("lead"), F.col("o.doc_id").alias("lead_id"), "n"), "near-copies")
     leads = freeze(copies.select(F.col("lead").alias("row")).join(rows, "row"), "near-leads")
 
-    keyed = leads.select("row", F.explode("keys").alias("key"))
-    by_key = W.partitionBy("key").orderBy("row")
-    met = keyed.select("row", F.first("row").over(by_key.rowsBetween(W.unboundedPreceding, 0)).alias("first"), F.lag("row").over(by_key).alias("last"))
-    pairs = met.filter("last is not null").select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("row").alias("b")), F.struct(F.col("last").alias("a"), F.col("row").alias("b")))).alias("x")).select("x.a", "x.b")
+    keyed = leads.select("row", "top", F.explode("keys").alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = lookup(keyed, freeze(firsts, "near-keys"), "key", "n").filter("first is not null")
+    run = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / RUN)).alias("run")
+    met = met.select("row", "top", "key", "first", run)
+    met = met.select("row", "first", F.lag("row").over(W.partitionBy("key", "run").orderBy("top", "row")).alias("last"))
+    pairs = met.select("row", F.explode(F.array("first", "last")).alias("other")).filter("other <> row")
+    pairs = pairs.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
     of_print = freeze(leads.groupBy("fp").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "near-prints")
     close = trie_edges(of_print.select("fp"), DISTANCE)
     close = close.join(of_print.select(F.col("fp").alias("a"), F.col("row").alias("ra")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("row").alias("rb")), "b")
