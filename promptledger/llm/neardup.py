@@ -7,6 +7,11 @@ two of their six least hashes with probability above 0.99. Each pair of least ha
 of a key are linked to the first of them and, in the order of their greatest hash, to the one before, so candidates stay
 linear in the documents, however large a group, and what else is alike lies side by side. A key's first comes from an
 aggregation; the order is taken in runs of ``RUN`` documents, so no task holds a whole key. Every candidate is verified by the exact Jaccard similarity of the shingle sets, and verified links make groups.
+
+Those links only spare work. What they leave apart is settled exactly, by prefix filtering: with all shingles in one order,
+rare ones first, two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of each. Documents
+of different groups that meet under such a shingle are compared, all pairs of them that size and position allow; a
+shingle of many documents is dealt in blocks, and each pair of blocks is a join key of its own.
 """
 
 from __future__ import annotations
@@ -28,6 +33,13 @@ SHINGLE, SIMILARITY, DISTANCE, LEAST = 5, 0.8, 4, 6
 #: Documents of a key that are put in order together, on average.
 RUN = 1000
 
+#: Documents of a shingle that are compared under one join key, on average, with as many others.
+BLOCK = 128
+
+#: Documents whose shingles are counted to tell frequent ones, and how many of those are sent out. Any order of the
+#: shingles gives the same pairs; this one keeps passages of many documents out of the prefixes.
+COUNTED, FREQUENT = 20_000, 100_000
+
 
 def _sketch(batches):
     for b in batches:
@@ -46,9 +58,13 @@ def _sketch(batches):
             names=["row", "doc_id", "fp", "digest", "keys", "top"])
 
 
+def _set(text):
+    return np.unique(shingle_hashes(words(text), SHINGLE) >> np.uint64(1)).astype(np.int64)
+
+
 def _sets(batches):
     for b in batches:
-        sets = [np.unique(shingle_hashes(words(t.as_py()), SHINGLE) >> np.uint64(1)).astype(np.int64) for t in b.column(1)]
+        sets = [_set(t.as_py()) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
 
 
@@ -62,6 +78,56 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one document in a sample of bounded size, sorted, and their counts there."""
+    some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, rows // COUNTED))) == 0).mapInArrow(_sets, "row long, set array<long>")
+    counts = some.select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    top = sorted((r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
+    return np.array([h for h, _ in top], np.int64), np.array([n for _, n in top], np.int64)
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows whose shingle sets are similar enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = freeze(texts.join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "near-sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    return freeze(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "near-links")
+
+
+def _pairs_apart(texts: DataFrame, tied: DataFrame, rows: int) -> DataFrame:
+    """Pairs (a, b) of rows in different groups of ``tied`` (node, root), among them all that are similar enough."""
+    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, rows))
+
+    def prefixes(batches):
+        often, count = sent.value
+        for b in batches:
+            size, keys = [], []
+            for t in b.column(1):
+                h = _set(t.as_py())
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    h = h[np.lexsort((h, np.where(often[at] == h, count[at], 0)))]
+                size.append(len(h))
+                keys.append(h[: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "size", "keys"])
+
+    held = texts.mapInArrow(prefixes, "row long, size long, keys array<long>").join(tied.withColumnRenamed("node", "row"), "row", "left")
+    held = freeze(held.select("row", "size", F.coalesce("root", "row").alias("root"), "keys"), "near-prefixes")
+    held = held.select("row", "size", "root", F.posexplode("keys").alias("pos", "key"))
+    between = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key", "n")
+    held = lookup(held, freeze(between, "near-between"), "key", "n").filter("n is not null")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    held = held.withColumn("own", F.pmod(F.xxhash64("row"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    held = held.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "size", "root", "pos")
+    held = freeze(held, "near-blocks")
+    x, y = (held.select("key", "i", "j", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "row", "size", "root", "pos")]) for s in "xy")
+    met = x.join(y, ["key", "i", "j"]).filter("own_x = i and own_y = j and root_x <> root_y and (i < j or row_x < row_y)")
+    # if this shingle is the first they share, no more than it and what follows it in both is common
+    least = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size_x") + F.col("size_y")) - 1e-9
+    met = met.filter(F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y")) >= least)
+    return freeze(met.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct(), "near-apart")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """Frozen ``docs`` (doc_id, text, row; row unique) -> (row, first): ``first`` is the row that stands for the
     document's group, the one of its smallest doc_id, then row; null doc_ids stand last."""
@@ -85,11 +151,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     same = lookup(leads.select("row", "fp"), of_print.select("fp", F.col("row").alias("a"), "n"), "fp", "n").filter("a <> row").select("a", F.col("row").alias("b"))
     pairs = freeze(pairs.unionByName(close).unionByName(same).distinct(), "near-pairs")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = freeze(docs.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "near-sets")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    links = freeze(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "near-links")
-    tied = freeze(components(links), "near-components")
+    texts = freeze(docs.select("row", "text").join(leads.select("row"), "row", "left_semi"), "near-texts")
+    links = _verified(texts, pairs)
+    apart = _verified(texts, _pairs_apart(texts, freeze(components(links), "near-ties"), leads.count()))
+    tied = freeze(components(links.unionByName(apart)), "near-components")
 
     member = copies.join(tied.withColumnRenamed("node", "lead"), "lead", "left").withColumn("root", F.coalesce("root", "lead"))
     first = F.min(F.struct(F.col("lead_id").isNull(), "lead_id", "lead")).alias("o")

@@ -47,6 +47,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == want
     assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
 
+def test_pairs_that_meet_only_under_a_passage_of_thousands(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, rows, near = draw(60), [], 0
+    for g in range(2000):
+        own = draw(20)
+        rows.append((2 * g, " ".join(own[:10] + passage + own[10:])))
+        if g % 10 == 0:
+            own[rng.randrange(1, 9)] = "other"
+            rows.append((2 * g + 1, " ".join(own[:10] + passage + own[10:])))
+            near += jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+    assert near == 200 and jaccard(rows[0][1], rows[2][1]) < 0.8
+    kept = [r.doc_id for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [2 * g for g in range(2000)]
+
+
 def test_stages_and_their_order(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
