@@ -6,7 +6,9 @@ source of candidates, and the least hashes of a document's shingles another: two
 two of their six least hashes with probability above 0.99. Each pair of least hashes is a key. The documents
 of a key are linked to the first of them and, in the order of their greatest hash, to the one before, so candidates stay
 linear in the documents, however large a group, and what else is alike lies side by side. A key's first comes from an
-aggregation; the order is taken in runs of ``RUN`` documents, so no task holds a whole key. Every candidate is verified by the exact Jaccard similarity of the shingle sets, and verified links make groups.
+aggregation; the order is a sort of all keys by ranges, so a hot key lies in several tasks, and the last row of each range
+is carried to the next. Every candidate is verified by the exact Jaccard similarity of the shingle sets, and verified
+links make groups.
 
 Those links only spare work. What they leave apart is settled exactly, by prefix filtering: with all shingles in one order,
 rare ones first, two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of each. Documents
@@ -22,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import freeze, lookup
@@ -30,9 +31,6 @@ from .simhash import components, fingerprint, shingle_hashes, trie_edges, words
 
 SHINGLE, SIMILARITY, DISTANCE, LEAST = 5, 0.8, 4, 6
 
-#: Documents of a key that are put in order together, on average.
-RUN = 1000
-
 #: Documents of a shingle that are compared under one join key, on average, with as many others.
 BLOCK = 128
 
@@ -128,6 +126,41 @@ def _pairs_apart(texts: DataFrame, tied: DataFrame, rows: int) -> DataFrame:
     return freeze(met.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct(), "near-apart")
 
 
+def _lags(batches):
+    """Sorted (key, top, row, first) -> the same with the row before of the same key, and the partition's ends."""
+    names = ["key", "top", "row", "first", "last", "head", "tail"]
+    end = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, row = b.column(0).to_numpy(), b.column(2).to_numpy()
+        last, before = np.r_[row[:1], row[:-1]], np.r_[key[:1], key[:-1]]
+        same, head = key == before, np.zeros(len(key), bool)
+        if end is None:
+            same[0], head[0] = False, True
+        else:
+            last[0], same[0] = end[2], key[0] == end[0]
+        end = [int(c[-1].as_py()) for c in b.columns]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(last, pa.int64(), mask=~same), pa.array(head), pa.array(np.zeros(len(key), bool))], names=names)
+    if end is not None:
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in end), pa.array([None], pa.int64()), pa.array([False]), pa.array([True])], names=names)
+
+
+def _neighbours(met: DataFrame) -> DataFrame:
+    """(key, top, row, first) -> (row, other): each row with its key's first and with the one before it by (top, row)."""
+    ordered = met.select("key", "top", "row", "first").repartitionByRange("key", "top", "row").sortWithinPartitions("key", "top", "row")
+    ordered = freeze(ordered.mapInArrow(_lags, "key long, top long, row long, first long, last long, head boolean, tail boolean"), "near-order")
+    ends = ordered.filter("head or tail").select("key", "top", "row", "tail").collect()  # two a partition
+    across, end = [], None
+    for r in sorted(ends):
+        if r.tail:
+            end = r
+        elif end is not None and end["key"] == r["key"]:
+            across.append((r["row"], end["row"]))
+    inside = ordered.filter("not tail").select("row", F.explode(F.array("first", "last")).alias("other"))
+    return inside.unionByName(met.sparkSession.createDataFrame(across, "row long, other long")).filter("other <> row")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """Frozen ``docs`` (doc_id, text, row; row unique) -> (row, first): ``first`` is the row that stands for the
     document's group, the one of its smallest doc_id, then row; null doc_ids stand last."""
@@ -139,10 +172,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     keyed = leads.select("row", "top", F.explode("keys").alias("key"))
     firsts = keyed.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = lookup(keyed, freeze(firsts, "near-keys"), "key", "n").filter("first is not null")
-    run = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / RUN)).alias("run")
-    met = met.select("row", "top", "key", "first", run)
-    met = met.select("row", "first", F.lag("row").over(W.partitionBy("key", "run").orderBy("top", "row")).alias("last"))
-    pairs = met.select("row", F.explode(F.array("first", "last")).alias("other")).filter("other <> row")
+    pairs = _neighbours(met)
     pairs = pairs.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
     of_print = freeze(leads.groupBy("fp").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "near-prints")
     close = trie_edges(of_print.select("fp"), DISTANCE)

@@ -64,6 +64,16 @@ def test_pairs_that_meet_only_under_a_passage_of_thousands(spark):
     assert sorted(kept) == [2 * g for g in range(2000)]
 
 
+def test_neighbours_of_a_hot_key_lie_side_by_side(spark):
+    rows = [(k, top, 10_000 * k + i, 10_000 * k) for k, n in ((1, 3), (2, 3000), (3, 1), (4, 500)) for i, top in enumerate(random.Random(k).choices(range(-900, 900), k=n))]
+    met = spark.createDataFrame(rows, "key long, top long, row long, first long").repartition(3)
+    want = {(row, first) for _, _, row, first in rows if row != first}
+    rows.sort()
+    want |= {(b[2], a[2]) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0]}
+    assert {(r.row, r.other) for r in neardup._neighbours(met).collect()} == want
+    assert neardup._neighbours(met.limit(0)).count() == 0
+
+
 def test_stages_and_their_order(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
