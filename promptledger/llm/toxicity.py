@@ -3,9 +3,10 @@
 A word's input joins a word part and a character part: learned embeddings of the hashed word and of its hashed byte
 n-grams, and the weight of evidence (smoothed log odds over labelled documents) of the word and of its most telling
 n-gram. Two recurrent passes read each window of words, attention pools their states, and a document's score is that of
-its worst window. All overlapping windows of a text are scored, whatever its length.
+its worst window. A window starts at every word of a text, whatever its length, and all are scored.
 
-Labels name documents, not windows, so training picks each document's highest window, fits on those, and picks again.
+Labels name documents, not windows, so training picks each document's highest window, fits on those, and picks again. It
+picks from windows ``STRIDE`` words apart; scale and shift are then set to the documents' scores over all windows.
 While training, a document's own label is taken out of the evidence of its words. Training uses a bounded sample of
 labelled rows (``SAMPLE`` of either class, none over ``SAMPLE_CHARS`` characters); scoring covers everything.
 """
@@ -80,7 +81,7 @@ def _windows(n: int) -> np.ndarray:
 
 
 def _window_ids(docs: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of all documents as rows of word positions (``pad`` beyond the end), and the document of each."""
+    """Windows ``STRIDE`` apart of all documents, as rows of word positions (``pad`` beyond the end), and the document of each."""
     rows, owner = [], []
     for i, d in enumerate(docs):
         start = _windows(len(d))
@@ -91,6 +92,22 @@ def _window_ids(docs: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(rows), np.concatenate(owner)
 
 
+def _highest(docs: list[np.ndarray], pad: int, logits) -> np.ndarray:
+    """The highest logit over the windows at every word of each document. ``logits`` takes the documents' word positions
+    end to end (``pad`` up to a window's length); windows that reach into the next document do not count."""
+    if not docs:
+        return np.zeros(0)
+    size = np.maximum(np.fromiter(map(len, docs), np.int64, len(docs)), WINDOW)
+    flat = np.full(int(size.sum()), pad, np.int64)
+    begin = np.cumsum(size) - size
+    for d, i in zip(docs, begin.tolist(), strict=True):
+        flat[i:i + len(d)] = d
+    value = np.full(len(flat), -np.inf)
+    value[:len(flat) - WINDOW + 1] = logits(flat)
+    value[np.arange(len(flat)) > np.repeat(begin + size - WINDOW, size)] = -np.inf
+    return np.maximum.reduceat(value, begin)
+
+
 def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -121,52 +138,73 @@ class Model:
         odds = _per_word(self.gram_odds[(g >> np.uint64(64 - BITS)).astype(np.int64)], owner, len(words), np.maximum)
         return np.column_stack([self.word_odds[w >> np.uint32(32 - BITS)], odds, self.p["word"][w >> np.uint32(32 - EMB_BITS)], char]).astype(np.float32)
 
-    def logits(self, x: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """x: inputs by word, windows: rows of word positions, len(x) where padded. Features lie along the first axis,
-        so that every operation runs over long rows."""
+    def _tables(self, x: np.ndarray) -> tuple[dict, dict]:
+        """What each word adds to the gates (nothing for a padded place, the last column), and the recurrent weights."""
         h, f32 = HIDDEN, np.float32
         half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(f32)  # a sigmoid is a tanh of half its argument
         tables, turns = {}, {}
         for d in "fb":
             tables[d] = np.hstack([((x @ self.p[f"W{d}"] + self.p[f"b{d}"]) * half).T, np.zeros((3 * h, 1), f32)]).astype(f32)
             turns[d] = np.ascontiguousarray((self.p[f"U{d}"] * half).T)
-        out = np.empty(len(windows), f32)
+        return tables, turns
+
+    def logits(self, x: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """x: inputs by word, windows: rows of word positions, len(x) where padded."""
+        tables, turns = self._tables(x)
+        out = np.empty(len(windows), np.float32)
         for i in range(0, len(windows), WINDOWS_A_STEP):
             ids = np.ascontiguousarray(windows[i:i + WINDOWS_A_STEP].T)
-            n = ids.shape[1]
-            live = (ids < len(x)).astype(f32)
-            short = live.min(axis=1) < 1
-            heads = {}
-            for d, steps in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-                at = slice(0, h) if d == "f" else slice(h, 2 * h)
-                read = np.stack([self.p["att"][at], self.p["out"][at]])
-                heads[d] = np.empty((WINDOW, 2, n), f32)
-                s, a, b = np.zeros((h, n), f32), np.empty((3 * h, n), f32), np.empty((3 * h, n), f32)
-                for t in steps:
-                    np.take(tables[d], ids[t], axis=1, out=a, mode="clip")
-                    np.matmul(turns[d], s, out=b)
-                    zr, c, bc = a[:2 * h], a[2 * h:], b[2 * h:]
-                    zr += b[:2 * h]
-                    np.tanh(zr, out=zr)
-                    zr += 1
-                    zr *= 0.5
-                    bc *= zr[h:]
-                    c += bc
-                    np.tanh(c, out=c)
-                    c -= s
-                    zr[:h] -= 1
-                    c *= zr[:h]
-                    if short[t]:
-                        c *= live[t]
-                    s -= c
-                    np.matmul(read, s, out=heads[d][t])
-            both = heads["f"] + heads["b"]
-            score = both[:, 0] + (live - 1) * 1e4
-            score = np.exp(score - score.max(axis=0))
-            score /= score.sum(axis=0)
-            out[i:i + WINDOWS_A_STEP] = (score * both[:, 1]).sum(axis=0) + self.p["bias"][0]
+            out[i:i + WINDOWS_A_STEP] = self._pooled(turns, (ids < len(x)).astype(np.float32), lambda d, t, a, ids=ids: np.take(tables[d], ids[t], axis=1, out=a, mode="clip"))
         return out
 
+    def logits_along(self, x: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The same for the windows at every place of ``flat`` that has a whole one: neighbours share their inputs."""
+        tables, turns = self._tables(x)
+        out = np.empty(len(flat) - WINDOW + 1, np.float32)
+        for i in range(0, len(out), WINDOWS_A_STEP):
+            n = min(WINDOWS_A_STEP, len(out) - i)
+            ids = flat[i:i + n + WINDOW - 1]
+            rows = {d: np.take(tables[d], ids, axis=1) for d in "fb"}
+            live = np.lib.stride_tricks.sliding_window_view((ids < len(x)).astype(np.float32), n)
+            out[i:i + n] = self._pooled(turns, live, lambda d, t, a, rows=rows, n=n: np.copyto(a, rows[d][:, t:t + n]))
+        return out
+
+    def _pooled(self, turns: dict, live: np.ndarray, read_step) -> np.ndarray:
+        """Logits of windows side by side. live: (time, windows); ``read_step`` writes a direction's inputs at a time.
+        Features lie along the first axis, so that every operation runs over long rows."""
+        h, f32 = HIDDEN, np.float32
+        n = live.shape[1]
+        short = live.min(axis=1) < 1
+        heads = {}
+        for d, steps in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+            at = slice(0, h) if d == "f" else slice(h, 2 * h)
+            read = np.stack([self.p["att"][at], self.p["out"][at]])
+            heads[d] = np.empty((WINDOW, 2, n), f32)
+            s, a, b = np.zeros((h, n), f32), np.empty((3 * h, n), f32), np.empty((3 * h, n), f32)
+            for t in steps:
+                read_step(d, t, a)
+                np.matmul(turns[d], s, out=b)
+                zr, c, bc = a[:2 * h], a[2 * h:], b[2 * h:]
+                zr += b[:2 * h]
+                np.tanh(zr, out=zr)
+                zr += 1
+                zr *= 0.5
+                bc *= zr[h:]
+                c += bc
+                np.tanh(c, out=c)
+                c -= s
+                zr[:h] -= 1
+                c *= zr[:h]
+                if short[t]:
+                    c *= live[t]
+                s -= c
+                np.matmul(read, s, out=heads[d][t])
+        both = heads["f"] + heads["b"]
+        score = both[:, 0] + (live - 1) * 1e4
+        score = np.exp(score - score.max(axis=0))
+        score /= score.sum(axis=0)
+        return (score * both[:, 1]).sum(axis=0) + self.p["bias"][0]
+
     def step(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean cross-entropy for a batch. x: (time, batch, inputs), live: (time, batch, 1)."""
         h, p, grad, kept = HIDDEN, self.p, {}, {}
@@ -219,10 +257,8 @@ class Model:
 
     def document_logits(self, docs: list[list[bytes]]) -> np.ndarray:
         words, ids = _ids(docs)
-        windows, owner = _window_ids(ids, len(words))
-        out = np.full(len(docs), -np.inf)
-        np.maximum.at(out, owner, self.logits(self.inputs(words), windows))
-        return out
+        x = self.inputs(words)
+        return _highest(ids, len(words), lambda flat: self.logits_along(x, flat))
 
     def score(self, logits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -50, 50)))
@@ -323,7 +359,10 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, roun
                     model.p[name] *= 0.998
                 model.p[name] -= (0.01 * (m / (1 - 0.9**clock)) / (np.sqrt(s / (1 - 0.999**clock)) + 1e-7)).astype(np.float32)
     top = np.full(len(ids), -np.inf)
-    np.maximum.at(top, doc, scored())
+    for k in (0, 1):
+        at = np.flatnonzero(y == k)
+        x = np.column_stack([own[k], model.p["word"][wc], char()]).astype(np.float32)
+        top[at] = _highest([ids[i] for i in at], len(words), lambda flat, x=x: model.logits_along(x, flat))
     weight = np.where(y == 1, prior / n_pos, (1 - prior) / n_neg)
     a, b = 1.0, 0.0
     for _ in range(300):  # scale and shift to the prior, by gradient steps

@@ -82,6 +82,16 @@ def test_every_window_counts_and_long_texts(model, spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_a_window_starts_at_every_word(model):
+    words = toxicity.tokens(" ".join(corpus(9, 4)[0]) + " vilespam")
+    def alone(w):
+        x, size = model.inputs(list(w)), len(w)
+        return max(model.logits(x, np.minimum(s + np.arange(toxicity.WINDOW), size)[None])[0] for s in range(max(1, size - toxicity.WINDOW + 1)))
+
+    for docs in ([words[:n] for n in (0, 1, 23, 24, 25, 40, 41, 57)], [words, words[::-1]]):
+        assert np.allclose(model.document_logits(docs), [alone(d) if d else model.document_logits([[]])[0] for d in docs], atol=1e-4)
+
+
 def test_labels_of_one_class_or_none(spark):
     docs = spark.createDataFrame([(i, f"w{i}") for i in range(9)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0, None if i else 0) for i in range(9)], "doc_id long, quality int, toxic int")
