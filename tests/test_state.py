@@ -4,6 +4,7 @@ import json
 import random
 import time
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -255,3 +256,25 @@ def test_streamed_chunks_become_one_response(spark, tmp_path):
     calls.write.parquet(str(tmp_path / "calls"))
     done = run(streams.block_stream(streams.read(spark, str(tmp_path / "calls"), calls.schema), "scope", 700), "blocked")
     assert [r.action for r in done.orderBy("order_key").collect()] == ["run", "run", "run", "blocked", "blocked", "blocked"]
+
+
+def test_semantic_drift_reads_whole_texts_of_all_conversations(spark, tmp_path):
+    from promptledger.plans import state_queries
+
+    texts = [f"{w} refund order today" for w in ("apple", "melon", "grape", "lemon")]
+    rows = [(c, 0, "user", texts[c % 4] if c % 5 else "zzzzz yyyyyy xxxxx wwwww") for c in range(60)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.score for r in state_queries.semantic_drift(spark, str(tmp_path)).collect()}
+    asked = [c for c in range(60) if c not in {r.id for r in spark.range(60).filter("pmod(xxhash64(id, 0), 10) = 0").collect()}]
+    text = {c: t for c, _, _, t in rows}
+    assert len({len(t) for t in text.values()}) > 1 or len(asked) < 60
+    want = {}
+    for size in {len(t) for t in text.values()}:
+        recordings = [text[c] for c in range(60) if len(text[c]) == size]
+        for c, replayed in zip([c for c in asked if len(text[c]) == size], recordings, strict=False):
+            if replayed != text[c]:
+                a, e = text[c].split(), replayed.split()
+                score = max(SequenceMatcher(None, " ".join(a), " ".join(e)).ratio(), len(set(a) & set(e)) / len(set(e)))
+                if score < 0.8:
+                    want[c] = round(score, 6)
+    assert got == want and want and {c % 2 for c in want} == {0, 1}
