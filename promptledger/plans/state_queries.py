@@ -37,9 +37,10 @@ def lexical_containment(spark, sf_dir):
 
 
 def lexical_score(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter("turn < 2")
-    pairs = turns.filter("turn = 0").select("conv_id", F.col("text").alias("a")).join(turns.filter("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id")
-    return pairs.select("conv_id", F.round(similarity.lexical_score(F.col("a"), F.col("b")), 6).alias("score"))
+    """Each turn against the turn before it in its conversation, whatever their roles."""
+    turns = table(spark, sf_dir, "conversations")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", "role", F.round(similarity.lexical_score(F.col("text"), F.col("before")), 6).alias("score"))
 
 
 def detect_kind(spark, sf_dir):

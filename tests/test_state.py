@@ -278,3 +278,12 @@ def test_semantic_drift_reads_whole_texts_of_all_conversations(spark, tmp_path):
                 if score < 0.8:
                     want[c] = round(score, 6)
     assert got == want and want and {c % 2 for c in want} == {0, 1}
+
+
+def test_lexical_score_takes_every_turn_after_the_first(spark, tmp_path):
+    from promptledger.plans import state_queries
+
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "what is red"), (1, 2, "assistant", "red is a colour"), (1, 3, "user", "what is blue"), (1, 4, "assistant", "what is blue"), (2, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.score for r in state_queries.lexical_score(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(1, 1), (1, 2), (1, 3), (1, 4)] and got[1, 4] == 1.0 and got[1, 2] == 0.666667
