@@ -109,8 +109,8 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest, pa.array(e, pa.list_(pa.float64()))], names=["page_id", "host", "declared", "suffix", "evidence"])
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    head = F.substring(F.coalesce("html", F.lit("")), 1, 4096)  # where a page's root element stands
-    declared = F.lower(F.regexp_extract(head, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    markup = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script\s*>", "")  # no tag stands in those
+    declared = F.lower(F.regexp_extract(markup, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", host.alias("host"), declared.alias("declared"))
     rows = rows.withColumn("suffix", F.regexp_extract("host", r"\.([a-z0-9\-]+)$", 1))
     rows = rows.mapInArrow(read, "page_id long, host string, declared string, suffix string, evidence array<double>")

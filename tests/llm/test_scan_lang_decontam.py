@@ -98,3 +98,11 @@ def test_language_of_pages(spark, sf):
     assert langid.identify(pages.limit(0), model).count() == 0
     bare = langid.TextModel([], [])
     assert {r.lang for r in langid.identify(pages.limit(3), bare).collect()} == {"und"}
+
+
+def test_language_declared_far_into_the_page(spark):
+    licence, script = "<!-- " + "<html lang=xx> licence " * 5000 + "-->", "<script>var t = '<html lang=yy>';" + "x++;" * 5000 + "</script>"
+    rows = [(1, licence + "<html class=a lang='fr'><p>a</p></html>"), (2, script + '<HTML LANG="de-AT">'), (3, licence + script), (4, " " * 9000 + "<html lang=en>")]
+    pages = spark.createDataFrame([(i, f"https://h{i}.example/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.declared for r in langid.identify(pages, langid.TextModel(["der die das", "le la les", "the of and"], ["de", "fr", "en"])).collect()}
+    assert got == {1: "fr", 2: "de", 3: None, 4: "en"}
