@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import documents, freeze
 
-#: numpy draws hypergeometric numbers below this total; above, halves are drawn by a normal law of the same moments.
+#: numpy draws hypergeometric numbers below this total; above, they are drawn by inverting the law's own sums.
 EXACT = 10**9
 
 #: Ranges of the second permutation's key in each shard: no window holds a whole shard.
@@ -34,10 +34,16 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 def _split(rng, good: int, bad: int, draws: int) -> int:
     if good + bad < EXACT:
         return int(rng.hypergeometric(good, bad, draws)) if draws and good else 0
-    total = good + bad
-    mean = draws * good / total
-    sd = (mean * (bad / total) * (total - draws) / max(1, total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), 0, draws - bad), good, draws))
+    # the law from neighbour to neighbour around its mode, as far as a double can tell its mass from none
+    total, least, most = good + bad, max(0, draws - bad), min(good, draws)
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), least), most)
+    width = 64 + int(14 * (draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1))) ** 0.5)
+    first = max(least, mode - width)
+    k = np.arange(first, min(most, mode + width), dtype=np.float64)
+    ratio = ((good - k) / (k + 1)) * ((draws - k) / (bad - draws + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(ratio))])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + min(int(np.searchsorted(sums, rng.random() * sums[-1], "right")), len(sums) - 1)
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -169,3 +170,17 @@ def test_components_of_a_long_path(spark):
     random.Random(1).shuffle(path)
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_large_draws_follow_the_exact_law(monkeypatch):
+    rng = np.random.default_rng(3)
+    got = np.array([shard._split(rng, 10**6, 2 * 10**9 - 10**6, 2000) for _ in range(4000)])
+    assert abs((got == 0).mean() - np.exp(-1)) < 0.03 and abs((got == 2).mean() - np.exp(-1) / 2) < 0.03 and abs(got.mean() - 1) < 0.06
+    assert [shard._split(rng, g, b, d) for g, b, d in ((0, 2 * 10**9, 5), (2 * 10**9, 0, 5), (10**9, 10**9, 2 * 10**9), (10**9, 10**9, 0))] == [0, 5, 10**9, 0]
+    matrix = shard.communication_matrix([3 * 10**9, 0, 10**9 + 1, 7], 3, 9)
+    assert matrix.sum(axis=1).tolist() == [3 * 10**9, 0, 10**9 + 1, 7] and matrix.sum(axis=0).tolist() == shard.shard_sizes(4 * 10**9 + 8, 3)
+    monkeypatch.setattr(shard, "EXACT", 1)
+    for good, bad, draws in ((7, 5, 6), (30, 40, 25), (3, 90, 50)):
+        got = np.bincount([shard._split(rng, good, bad, draws) for _ in range(6000)], minlength=draws + 1) / 6000
+        want = [math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) for k in range(draws + 1)]
+        assert np.abs(got - want).max() < 0.03
