@@ -1,6 +1,8 @@
 """Secret scanning with a random forest against false positives, in DataFrame operations only.
 
-A pattern draws candidates: runs of 16 or more characters that keys are made of. Each is described by its length, how
+A pattern draws candidates: runs of 16 or more characters that keys are made of, provider keys and dotted tokens of
+known form, what is assigned to a name that secrets have (any characters but spaces, of any length; quotes end a quoted
+one), and what stands between a colon and an @ as in user:pass@host. Each is described by its length, how
 its characters follow one another, how much of it dictionary pieces cover, the path it comes from and the words around
 it. A random forest (the JVM's own) trained on labelled findings tells secrets from digests, identifiers and long words.
 """
@@ -15,7 +17,16 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+_NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|authorization|credentials?)"
+_AFTER_NAME = rf"(?<=[=:\s])(?<={_NAME}[\"']?\s{{0,2}}:?[=:]>?\s{{0,2}})"
+_END = r"(?=[\"',;.)\]}>]*(?:\s|$)|&[\w.\-]+=)"
+CANDIDATE = "|".join((
+    rf"(?<=[\"'])(?:(?<={_NAME}[\"']?\s{{0,2}}:?[=:]>?\s{{0,2}}\")[^\s\"]+|(?<={_NAME}[\"']?\s{{0,2}}:?[=:]>?\s{{0,2}}')[^\s']+)",
+    rf"{_AFTER_NAME}(?![\"'])(?!(?i:bearer|basic)\s)\S+?{_END}",
+    r"(?<=(?i:bearer|basic)\s)[^\s\"',;]+",
+    r"(?<=:)(?!//)[^\s\"'<>]{1,256}(?=@[A-Za-z0-9\[])",
+    r"\beyJ[A-Za-z0-9_\-]*(?:\.[A-Za-z0-9_\-]+)+", r"\bsk[-_][A-Za-z0-9_\-]{8,}",
+    r"[A-Za-z0-9+/_\-]{16,}={0,2}"))
 NEAR, TREES, DEPTH, FINDINGS, SEED, THRESHOLD = 48, 20, 7, 6000, 11, 0.5
 
 #: Pieces of common words in the languages at hand, longest first within each start.
@@ -33,7 +44,7 @@ EXAMPLE_WORDS = r"(?i)(example|sample|dummy|placeholder|fake|changeme|your[_\- ]
 TEST_PATH = r"(?i)(^|[/_.\-])(tests?|spec|examples?|samples?|fixtures?|mocks?|docs?|lock)([/_.\-]|$)"
 
 FEATURES = ["length", "letters", "digits", "uppers", "turns", "distinct", "vowels", "covered", "hexadecimal", "known_form",
-            "separators", "path_test", "before_secret", "before_digest", "near_example", "assigned"]
+            "separators", "path_test", "before_secret", "before_digest", "near_example", "assigned", "symbols", "in_address", "reference"]
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str = "source") -> DataFrame:
@@ -59,16 +70,19 @@ def described(found: DataFrame) -> DataFrame:
         "*", n.alias("length"), (count("[A-Za-z]") / n).alias("letters"), (count("[0-9]") / n).alias("digits"), (count("[A-Z]") / n).alias("uppers"),
         (turns / n).alias("turns"), (F.size(F.array_distinct(F.split(v, ""))) / n).alias("distinct"), (count("(?i)[aeiou]") / n).alias("vowels"),
         ((n - F.length(F.regexp_replace(v, f"(?i)(?:{DICTIONARY})", ""))) / n).alias("covered"), flag(v.rlike("^[0-9a-fA-F]+$")).alias("hexadecimal"),
-        flag(v.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^sk[-_][A-Za-z0-9_\-]{20,}|^xox[abprs]-|^AIza[0-9A-Za-z_\-]{35}$|^eyJ")).alias("known_form"),
+        flag(v.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^sk[-_](?=.*[0-9])[A-Za-z0-9_\-]{8,}|^xox[abprs]-|^AIza[0-9A-Za-z_\-]{35}$|^eyJ")).alias("known_form"),
         (count(r"[+/_\-]") / n).alias("separators"), flag(F.col("path").rlike(TEST_PATH)).alias("path_test"),
         flag(F.col("before").rlike(SECRET_WORDS)).alias("before_secret"), flag(F.col("before").rlike(DIGEST_WORDS)).alias("before_digest"),
         flag(F.concat("before", v, "after").rlike(EXAMPLE_WORDS)).alias("near_example"), flag(F.col("before").rlike("[=:]\\s*[\"']?$")).alias("assigned"),
+        (count(r"[^A-Za-z0-9+/_\-]") / n).alias("symbols"), flag(F.col("before").rlike(r"://[^\s/@]*:$") & F.col("after").startswith("@")).alias("in_address"),
+        flag(v.rlike(r"^[$<{%\[(]|^\*+$|[(\[].*[)\]]?$|^\w+(\.[A-Za-z_]+)+$")).alias("reference"),
     )
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     """Labelled findings (path, value, before, after, label) made from their number by rule: provider keys, assigned
-    passwords and tokens against digests, UUIDs, identifiers, paths, long words and placeholders. Users pass their own
+    passwords and tokens, short ones and those in addresses too, against digests, UUIDs, identifiers, paths, words, code and
+    placeholders. Users pass their own
     reviewed findings of the same columns instead."""
     i = F.col("id")
     hexes = lambda salt, n: F.substring(F.sha2(F.concat_ws("|", i.cast("string"), F.lit(salt)), 256), 1, n)
@@ -77,7 +91,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     piece = lambda k: F.element_at(F.array(*[F.lit(p) for p in pieces]), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(pieces))) + 1).cast("int"))
     word = F.concat(*[piece(k) for k in range(6)])
     pick = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
-    kind = F.pmod(i, F.lit(14))
+    short = lambda k: F.concat(F.initcap(piece(k)), F.substring(hexes("o", 4), 1, 3), pick("mark", "&", "!", "#", "$", "@", "%", "*", ".", ""), b64("z", 5), pick("end", "!", "?", "", "", "9"))
+    kind = F.pmod(i, F.lit(20))
     cases = [  # value, before, label
         (F.concat(F.lit("AKIA"), F.upper(b64("a", 16))), pick("b0", "key ", "", "use ", "aws_access_key_id = "), 1),
         (hexes("p", 18), pick("b1", "password=", "passwd: ", "pwd='", "PASSWORD = "), 1),
@@ -93,11 +108,17 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.concat(piece(7), F.lit("_"), word, F.lit("_"), piece(8)), pick("c5", "def ", "call ", "var ", "module "), 0),
         (F.concat(piece(9), F.lit("/"), word, F.lit("/"), piece(10)), pick("c6", "in ", "path ", "see ", "open "), 0),
         (pick("v", "your_api_key_here_xxxx", "xxxxxxxxxxxxxxxxxxxx", "EXAMPLEKEYEXAMPLEKEY", "changemechangeme123"), pick("c7", "token = ", "password=", "secret: ", "key="), 0),
+        (short(11), pick("c8", "password=", "passwd: ", 'pwd="', "PASSWORD = '", "secret: ", "api_key="), 1),
+        (F.concat(F.lit("sk-"), F.substring(b64("k2", 12), 1, 11), F.lit("7")), pick("c9", "key ", "", "use ", "OPENAI_KEY="), 1),
+        (short(12), pick("d0", "postgres://app:", "mysql://root:", "https://user:", "redis://:"), 1),
+        (F.concat(F.lit("eyJ"), b64("j1", 30), F.lit("."), F.lit("eyJ"), b64("j2", 40), F.lit("."), b64("j3", 40)), pick("d1", "token: ", "", "bearer ", "jwt "), 1),
+        (F.when(i % 40 < 20, pick("w1", "required", "string", "None", "null", "true", "yes", "the", "and", "incorrect", "str", "int", "false")).otherwise(F.concat(piece(13), piece(14))), pick("d2", "password: ", "token = ", "key: ", "secret=", "auth: "), 0),
+        (pick("w2", "os.environ['PASSWORD']", "getpass()", "${TOKEN}", "$SECRET", "<password>", "config.secret", "self.token", "{{ key }}", "****", "get_token(user)", "%s", "[redacted]"), pick("d3", "password = ", "token=", "key: ", 'secret="'), 0),
     ]
     at = lambda k: F.coalesce(*[F.when(kind == j, F.lit(c[k]) if k == 2 else c[k]) for j, c in enumerate(cases)])
     return spark.range(0, rows, 1, 4).select(
         pick("path", "src/app.py", "lib/config.yml", "web", "src7", "notes", "deploy/env").alias("path"), at(0).alias("value"), at(1).alias("before"),
-        pick("after", " in ", '"\n', " the ", ", und ", "").alias("after"), at(2).cast("double").alias("label"))
+        F.when(kind == 16, F.lit("@db.internal/main")).otherwise(pick("after", " in ", '"\n', " the ", ", und ", "")).alias("after"), at(2).cast("double").alias("label"))
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,20 @@ def test_secret_scan_separates_secrets_from_look_alikes(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_of_any_characters_and_length(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVPmB92K27uhbUJU1p1r_wW1gFWFOEjXk"
+    rows = [
+        ("password=Tr0ub4dor&3! und", "Tr0ub4dor&3!"), ("open postgres://app:s3cr3t!Pw9@db.internal/x now", "s3cr3t!Pw9"), ("use sk-Ab12Cd34Ef here", "sk-Ab12Cd34Ef"),
+        (f"Authorization: Bearer {jwt}", jwt), (f"jwt {jwt} end", jwt), ('{"db_password": "p4$$,wO;rd", "n": 1}', "p4$$,wO;rd"), ("?token=ab12%cd9&page=2", "ab12%cd9"), ("pwd: 'Zx9#'", "Zx9#"), ("api_key: Qw3!rT8z.", "Qw3!rT8z"),
+        ("password: required", None), ("token = get_token(user)", None), ("secret=${SECRET}", None), ("write to mailto:someone@example.org", None), ("the word is here: yes", None),
+    ]
+    docs = spark.createDataFrame([(i, t, "src/app.py") for i, (t, _) in enumerate(rows)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.value) for r in secret_scan.candidates(docs).collect()}
+    assert {(i, v) for i, (_, v) in enumerate(rows) if v} <= found
+    got = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark))).filter("is_secret").collect()
+    assert {(r.doc_id, r.value_sha256) for r in got} == {(i, sha256(v.encode()).hexdigest()) for i, (_, v) in enumerate(rows) if v}
+
+
 def test_secret_scan_held_out_accuracy(spark):
     rows = secret_scan.labelled_findings(spark, 2800).withColumn("k", F.crc32(F.col("value").cast("binary")) % 3)
     model = secret_scan.train(rows.filter("k > 0"))
