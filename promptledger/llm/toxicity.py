@@ -2,13 +2,16 @@
 
 A word's input joins a word part and a character part: learned embeddings of the hashed word and of its hashed byte
 n-grams, and the weight of evidence (smoothed log odds over labelled documents) of the word and of its most telling
-n-gram. Two recurrent passes read each window of words, attention pools their states, and a document's score is that of
-its worst window. A window starts at every word of a text, whatever its length, and all are scored.
+n-gram. While training, a document's own label is taken out of the evidence of its words. A text is read in blocks of ``BLOCK`` words that overlap by all but one word of a window; in each
+the two recurrent passes run once, and attention pools their states over every run of ``WINDOW`` words. Blocks overlap so
+that every such window lies whole in one of them: all windows are scored, one starting at every word, and a document's
+score is that of its worst. A window's states know the words of its block around it.
 
-Labels name documents, not windows, so training picks each document's highest window, fits on those, and picks again. It
-picks from windows ``STRIDE`` words apart; scale and shift are then set to the documents' scores over all windows.
-While training, a document's own label is taken out of the evidence of its words. Training uses a bounded sample of
-labelled rows (``SAMPLE`` of either class, none over ``SAMPLE_CHARS`` characters); scoring covers everything.
+Gates and states bend by x / (1 + abs x) in place of the hyperbolic tangent, which costs numpy six times as much.
+
+Labels name documents, not windows, so training picks each document's highest window, fits on those, and picks again. The
+first pick goes by the evidence alone. Training uses a bounded sample of labelled rows
+(``SAMPLE`` of either class, none over ``SAMPLE_CHARS`` characters); scoring covers everything.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ from pyspark.sql import types as T
 
 from .common import documents
 
-WINDOW, STRIDE, HIDDEN = 24, 16, 8
+WINDOW, BLOCK, HIDDEN = 24, 64, 8
+STARTS = BLOCK - WINDOW + 1  # windows that begin in a block, and the words from one block to the next
 SAMPLE, SAMPLE_CHARS, THRESHOLD = 2000, 20_000, 0.7
-GRAMS, BITS, EMB, EMB_BITS = (4, 5, 6), 20, 3, 12
-WORDS_A_BATCH, WINDOWS_A_STEP = 200_000, 4096
+GRAMS, BITS, EMB, EMB_BITS = (4, 5, 6), 20, 6, 14
+INPUTS = 2 + 2 * EMB
+WORDS_A_BATCH, BLOCKS_A_STEP = 200_000, 1024
+RATE, DECAY = 0.01, 0.98  # of the gradient steps; decay of the embeddings
 
 _SPACES = bytes.maketrans(b".,;:!?\"()[]{}*#", b" " * 15)
 
@@ -76,48 +82,44 @@ def _per_word(values: np.ndarray, owner: np.ndarray, n: int, how) -> np.ndarray:
     return out
 
 
-def _windows(n: int) -> np.ndarray:
-    return np.arange(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
-
-
-def _window_ids(docs: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows ``STRIDE`` apart of all documents, as rows of word positions (``pad`` beyond the end), and the document of each."""
-    rows, owner = [], []
-    for i, d in enumerate(docs):
-        start = _windows(len(d))
-        at = start[:, None] + np.arange(WINDOW)
-        full = np.append(d, pad)
-        rows.append(full[np.minimum(at, len(d))])
-        owner.append(np.full(len(start), i))
-    return np.concatenate(rows), np.concatenate(owner)
-
-
-def _highest(docs: list[np.ndarray], pad: int, logits) -> np.ndarray:
-    """The highest logit over the windows at every word of each document. ``logits`` takes the documents' word positions
-    end to end (``pad`` up to a window's length); windows that reach into the next document do not count."""
-    if not docs:
-        return np.zeros(0)
-    size = np.maximum(np.fromiter(map(len, docs), np.int64, len(docs)), WINDOW)
-    flat = np.full(int(size.sum()), pad, np.int64)
-    begin = np.cumsum(size) - size
+def _layout(docs: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents laid end to end in steps of ``STARTS`` words: word positions (``pad`` where there are none), and of each
+    step its document, its first word and the last window that begins in it (-1: none). Each document ends with a
+    step that holds the rest of its last block and begins no window."""
+    size = np.fromiter(map(len, docs), np.int64, len(docs))
+    steps = np.maximum(size - WINDOW, 0) // STARTS + 2
+    flat = np.full((int(steps.sum()) + 1) * STARTS, pad, np.int64)
+    begin = (np.cumsum(steps) - steps) * STARTS
     for d, i in zip(docs, begin.tolist(), strict=True):
         flat[i:i + len(d)] = d
-    value = np.full(len(flat), -np.inf)
-    value[:len(flat) - WINDOW + 1] = logits(flat)
-    value[np.arange(len(flat)) > np.repeat(begin + size - WINDOW, size)] = -np.inf
-    return np.maximum.reduceat(value, begin)
+    doc = np.repeat(np.arange(len(docs)), steps)
+    first = np.arange(len(doc)) * STARTS - begin[doc]
+    last = np.minimum(np.maximum(size[doc] - WINDOW, 0) - first, STARTS - 1)
+    last[np.cumsum(steps) - 1] = -1
+    return flat, doc, first, last
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _bend(x: np.ndarray, work: np.ndarray) -> None:
+    """x / (1 + abs x), in place."""
+    np.abs(x, out=work)
+    work += 1
+    x /= work
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Sums of every ``WINDOW`` (16 + 8) rows in a row: of positive numbers only, so that nothing cancels."""
+    two = x[:-1] + x[1:]
+    four = two[:-2] + two[2:]
+    eight = four[:-4] + four[4:]
+    return eight[:STARTS] + eight[8:STARTS + 8] + eight[16:STARTS + 16]
 
 
 class Model:
-    """Parameters, plus the evidence tables: documents of each class that hold a hashed word or n-gram."""
+    """Parameters of the network, and the weight of evidence of hashed words and n-grams."""
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        e, h = 2 + 2 * EMB, HIDDEN
+        e, h = INPUTS, HIDDEN
         draw = lambda *s: (rng.normal(0, 0.3, s)).astype(np.float32)
         self.p = {"out": draw(2 * h), "att": draw(2 * h), "bias": np.zeros(1, np.float32), "word": 0.1 * draw(1 << EMB_BITS, EMB), "char": 0.1 * draw(1 << EMB_BITS, EMB)}
         for d in "fb":
@@ -129,139 +131,137 @@ class Model:
         self.scale, self.shift = 1.0, 0.0
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
+        """A row per word, and one of zeros for a place without a word."""
         if not words:
-            return np.zeros((0, 2 + 2 * EMB), np.float32)
+            return np.zeros((1, INPUTS), np.float32)
         g, owner = _grams(words)
         w = _word_hashes(words)
-        char = _per_word(self.p["char"][(g >> np.uint64(64 - EMB_BITS)).astype(np.int64)], owner, len(words), np.add)
-        char /= np.maximum(np.bincount(owner, minlength=len(words)), 1)[:, None].astype(np.float32)
-        odds = _per_word(self.gram_odds[(g >> np.uint64(64 - BITS)).astype(np.int64)], owner, len(words), np.maximum)
-        return np.column_stack([self.word_odds[w >> np.uint32(32 - BITS)], odds, self.p["word"][w >> np.uint32(32 - EMB_BITS)], char]).astype(np.float32)
-
-    def _tables(self, x: np.ndarray) -> tuple[dict, dict]:
-        """What each word adds to the gates (nothing for a padded place, the last column), and the recurrent weights."""
-        h, f32 = HIDDEN, np.float32
-        half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(f32)  # a sigmoid is a tanh of half its argument
-        tables, turns = {}, {}
-        for d in "fb":
-            tables[d] = np.hstack([((x @ self.p[f"W{d}"] + self.p[f"b{d}"]) * half).T, np.zeros((3 * h, 1), f32)]).astype(f32)
-            turns[d] = np.ascontiguousarray((self.p[f"U{d}"] * half).T)
-        return tables, turns
-
-    def logits(self, x: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """x: inputs by word, windows: rows of word positions, len(x) where padded."""
-        tables, turns = self._tables(x)
-        out = np.empty(len(windows), np.float32)
-        for i in range(0, len(windows), WINDOWS_A_STEP):
-            ids = np.ascontiguousarray(windows[i:i + WINDOWS_A_STEP].T)
-            out[i:i + WINDOWS_A_STEP] = self._pooled(turns, (ids < len(x)).astype(np.float32), lambda d, t, a, ids=ids: np.take(tables[d], ids[t], axis=1, out=a, mode="clip"))
-        return out
-
-    def logits_along(self, x: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        """The same for the windows at every place of ``flat`` that has a whole one: neighbours share their inputs."""
-        tables, turns = self._tables(x)
-        out = np.empty(len(flat) - WINDOW + 1, np.float32)
-        for i in range(0, len(out), WINDOWS_A_STEP):
-            n = min(WINDOWS_A_STEP, len(out) - i)
-            ids = flat[i:i + n + WINDOW - 1]
-            rows = {d: np.take(tables[d], ids, axis=1) for d in "fb"}
-            live = np.lib.stride_tricks.sliding_window_view((ids < len(x)).astype(np.float32), n)
-            out[i:i + n] = self._pooled(turns, live, lambda d, t, a, rows=rows, n=n: np.copyto(a, rows[d][:, t:t + n]))
-        return out
-
-    def _pooled(self, turns: dict, live: np.ndarray, read_step) -> np.ndarray:
-        """Logits of windows side by side. live: (time, windows); ``read_step`` writes a direction's inputs at a time.
-        Features lie along the first axis, so that every operation runs over long rows."""
-        h, f32 = HIDDEN, np.float32
-        n = live.shape[1]
-        short = live.min(axis=1) < 1
-        heads = {}
-        for d, steps in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-            at = slice(0, h) if d == "f" else slice(h, 2 * h)
-            read = np.stack([self.p["att"][at], self.p["out"][at]])
-            heads[d] = np.empty((WINDOW, 2, n), f32)
-            s, a, b = np.zeros((h, n), f32), np.empty((3 * h, n), f32), np.empty((3 * h, n), f32)
-            for t in steps:
-                read_step(d, t, a)
-                np.matmul(turns[d], s, out=b)
-                zr, c, bc = a[:2 * h], a[2 * h:], b[2 * h:]
-                zr += b[:2 * h]
-                np.tanh(zr, out=zr)
-                zr += 1
-                zr *= 0.5
-                bc *= zr[h:]
-                c += bc
-                np.tanh(c, out=c)
-                c -= s
-                zr[:h] -= 1
-                c *= zr[:h]
-                if short[t]:
-                    c *= live[t]
-                s -= c
-                np.matmul(read, s, out=heads[d][t])
-        both = heads["f"] + heads["b"]
-        score = both[:, 0] + (live - 1) * 1e4
-        score = np.exp(score - score.max(axis=0))
-        score /= score.sum(axis=0)
-        return (score * both[:, 1]).sum(axis=0) + self.p["bias"][0]
-
-    def step(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients of the mean cross-entropy for a batch. x: (time, batch, inputs), live: (time, batch, 1)."""
+        odds = _per_word(np.take(self.gram_odds, (g >> np.uint64(64 - BITS)).astype(np.int64)), owner, len(words), np.maximum)
+        char = _per_word(np.take(self.p["char"], (g >> np.uint64(64 - EMB_BITS)).astype(np.int64), axis=0), owner, len(words), np.add)
+        return _joined(self.word_odds[w >> np.uint32(32 - BITS)], odds, self.p["word"][w >> np.uint32(32 - EMB_BITS)], char, np.bincount(owner, minlength=len(words)))
+
+    def highest(self, x: np.ndarray, flat: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each step, the highest logit of the windows that begin in it (minus infinity where none does) and where
+        it begins. x: inputs by word, the last row for no word; ``flat`` and ``last`` as ``_layout`` gives them."""
+        h, f32, n_steps = HIDDEN, np.float32, len(last)
+        best, where = np.full(n_steps, -np.inf, f32), np.zeros(n_steps, np.int64)
+        starts = np.arange(STARTS)[:, None]
+        for i in range(0, n_steps, BLOCKS_A_STEP):
+            n = min(BLOCKS_A_STEP, n_steps - i)
+            ids = flat[i * STARTS:(i + n + 1) * STARTS]
+            rows = np.take(x, ids, axis=0)
+            live = np.ascontiguousarray((ids < len(x) - 1).reshape(n + 1, STARTS).T).astype(f32)
+            at = lambda grid, t, n=n: grid[t][..., :n] if t < STARTS else grid[t - STARTS][..., 1:n + 1]
+            alive = np.stack([at(live, t) for t in range(BLOCK)])
+            heads = np.zeros((BLOCK, 2, n), f32)
+            work = np.empty((2 * h, n), f32)
+            for d, order in (("f", range(BLOCK)), ("b", range(BLOCK - 1, -1, -1))):
+                own = slice(0, h) if d == "f" else slice(h, 2 * h)
+                read = np.stack([self.p["att"][own], self.p["out"][own]])
+                given = (rows @ self.p[f"W{d}"] + self.p[f"b{d}"]).astype(f32)
+                given = np.ascontiguousarray(given.reshape(n + 1, STARTS, 3 * h).transpose(1, 2, 0))
+                turn = np.ascontiguousarray(self.p[f"U{d}"].T)
+                turn[2 * h:] *= 0.5
+                s, b = np.zeros((h, n), f32), np.empty((3 * h, n), f32)
+                for t in order:
+                    a = at(given, t)
+                    np.matmul(turn, s, out=b)
+                    zr, c = b[:2 * h], b[2 * h:]
+                    zr += a[:2 * h]
+                    _bend(zr, work)
+                    zr += 1  # twice the update and reset gates
+                    c *= zr[h:]
+                    c += a[2 * h:]
+                    _bend(c, work[:h])
+                    c -= s
+                    c *= zr[:h]
+                    c *= alive[t] * f32(0.5)
+                    s += c
+                    heads[t] += read @ s
+            pull = heads[:, 0] + (alive - 1) * f32(1e4)
+            pull = np.exp((pull - pull.max(axis=0)).astype(np.float64))
+            value = _runs(pull * heads[:, 1]) / np.maximum(_runs(pull), 1e-300) + float(self.p["bias"][0])
+            value[starts > last[None, i:i + n]] = -np.inf
+            where[i:i + n] = value.argmax(axis=0)
+            best[i:i + n] = value[where[i:i + n], np.arange(n)]
+        return best, where
+
+    def step(self, x: np.ndarray, live: np.ndarray, pool: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Gradients of the mean cross-entropy for a batch, those of the inputs, and the logits. x: (time, batch, inputs);
+        live: (time, batch, 1), places with a word; pool: (time, batch), those of them in the window."""
         h, p, grad, kept = HIDDEN, self.p, {}, {}
         steps, n = x.shape[:2]
-        states = np.zeros((steps, n, 2 * h), np.float32)
+        states = np.zeros((steps, n, 2 * h), x.dtype)
         for d in "fb":
             order = range(steps) if d == "f" else range(steps - 1, -1, -1)
-            s, rows = np.zeros((n, h), np.float32), {}
+            s, rows = np.zeros((n, h), x.dtype), {}
+            given = x @ p[f"W{d}"] + p[f"b{d}"]
             for t in order:
-                a, b = x[t] @ p[f"W{d}"] + p[f"b{d}"], s @ p[f"U{d}"]
-                zr = _sigmoid(a[:, :2 * h] + b[:, :2 * h])
-                new = np.tanh(a[:, 2 * h:] + zr[:, h:] * b[:, 2 * h:])
-                rows[t] = (s, zr, new, b[:, 2 * h:])
-                s = s + live[t] * ((1 - zr[:, :h]) * (new - s))
+                b = s @ p[f"U{d}"]
+                zr = given[t, :, :2 * h] + b[:, :2 * h]
+                wide = 1 + np.abs(zr)
+                zr = 0.5 + 0.5 * zr / wide
+                c = given[t, :, 2 * h:] + zr[:, h:] * b[:, 2 * h:]
+                far = 1 + np.abs(c)
+                c = c / far
+                rows[t] = (s, zr, wide, c, far, b[:, 2 * h:])
+                s = s + live[t] * zr[:, :h] * (c - s)
                 states[t, :, slice(0, h) if d == "f" else slice(h, 2 * h)] = s
             kept[d] = rows
-        e = states @ p["att"] + (live[:, :, 0] - 1) * 1e4
+        e = states @ p["att"] + (pool - 1) * 1e4
         alpha = np.exp(e - e.max(axis=0))
         alpha /= alpha.sum(axis=0)
         value = states @ p["out"]
-        logit = (alpha * value).sum(axis=0) + p["bias"][0]
+        mean = (alpha * value).sum(axis=0)
+        logit = mean + p["bias"][0]
         dlogit = (_sigmoid(logit) - y) / n
         pooled = np.einsum("tb,tbh->bh", alpha, states)
-        de = alpha * (value - (alpha * value).sum(axis=0)) * dlogit
+        de = alpha * (value - mean) * dlogit
         ds = alpha[:, :, None] * dlogit[:, None] * p["out"] + de[:, :, None] * p["att"]
-        grad |= {"out": dlogit @ pooled, "bias": np.array([dlogit.sum()], np.float32), "att": np.einsum("tb,tbh->h", de, states)}
+        grad |= {"out": dlogit @ pooled, "bias": np.array([dlogit.sum()]), "att": np.einsum("tb,tbh->h", de, states)}
         dx = np.zeros_like(x)
         for d in "fb":
             w, u = p[f"W{d}"], p[f"U{d}"]
-            dw, du, db = np.zeros_like(w), np.zeros_like(u), np.zeros(3 * h, np.float32)
-            order = range(steps - 1, -1, -1) if d == "f" else range(steps)
-            back = np.zeros((n, h), np.float32)
-            for t in order:
-                s, zr, new, un = kept[d][t]
+            da, dbb = np.zeros((steps, n, 3 * h), x.dtype), np.zeros((steps, n, 3 * h), x.dtype)
+            before = np.zeros((steps, n, h), x.dtype)
+            back = np.zeros((n, h), x.dtype)
+            for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
+                s, zr, wide, c, far, un = kept[d][t]
                 z, r = zr[:, :h], zr[:, h:]
                 g = back + ds[t][:, slice(0, h) if d == "f" else slice(h, 2 * h)]
                 gl = g * live[t]
-                dn = gl * (1 - z) * (1 - new * new)
-                dz = gl * (s - new) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                da = np.concatenate([dz, dr, dn], axis=1)
-                dbb = np.concatenate([dz, dr, dn * r], axis=1)
-                dw += x[t].T @ da
-                du += s.T @ dbb
-                db += da.sum(axis=0)
-                dx[t] += da @ w.T
-                back = g - gl * (1 - z) + dbb @ u.T
-            grad |= {f"W{d}": dw, f"U{d}": du, f"b{d}": db}
-        return grad, dx
+                dn = gl * z / (far * far)
+                gates = np.concatenate([gl * (c - s), dn * un], axis=1) * 0.5 / (wide * wide)
+                da[t] = np.concatenate([gates, dn], axis=1)
+                dbb[t] = np.concatenate([gates, dn * r], axis=1)
+                before[t] = s
+                back = g - gl * z + dbb[t] @ u.T
+            dx += da @ w.T
+            grad |= {f"W{d}": np.tensordot(x, da, ([0, 1], [0, 1])), f"U{d}": np.tensordot(before, dbb, ([0, 1], [0, 1])), f"b{d}": da.sum(axis=(0, 1))}
+        return grad, dx, logit
 
     def document_logits(self, docs: list[list[bytes]]) -> np.ndarray:
+        if not docs:
+            return np.zeros(0)
         words, ids = _ids(docs)
-        x = self.inputs(words)
-        return _highest(ids, len(words), lambda flat: self.logits_along(x, flat))
+        flat, doc, _, last = _layout(ids, len(words))
+        best, _ = self.highest(self.inputs(words), flat, last)
+        return np.maximum.reduceat(best, np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]))
 
     def score(self, logits: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * np.asarray(logits, np.float64) + self.shift, -50, 50)))
+
+
+def _sigmoid(x):
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def _joined(word_odds, gram_odds, word, char, n_grams) -> np.ndarray:
+    """Inputs of words, and a last row of zeros."""
+    out = np.zeros((len(word_odds) + 1, INPUTS), np.float32)
+    out[:-1, 0], out[:-1, 1], out[:-1, 2:2 + EMB] = word_odds, gram_odds, word
+    out[:-1, 2 + EMB:] = char / np.maximum(n_grams, 1)[:, None].astype(np.float32)
+    return out
 
 
 def _odds(pos, neg, n_pos, n_neg):
@@ -270,7 +270,7 @@ def _odds(pos, neg, n_pos, n_neg):
     return 0.5 * (np.log((pos + share + 1e-9) / (n_pos + 1)) - np.log((neg + 1 - share) / (n_neg + 1)) - np.log((share + 1e-9) / (n_pos + 1)) + np.log((1 - share) / (n_neg + 1)))
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, rounds: int = 5, steps: int = 120) -> Model:
+def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, rounds: int = 3, steps: int = 50, batch: int = 96) -> Model:
     """Fit on labelled texts. ``prior``: the share of toxic rows among all labelled ones, to which scores are set."""
     model, rng = Model(seed), np.random.default_rng(seed)
     y = np.asarray(toxic, np.float32)
@@ -283,86 +283,78 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, roun
     g, owner = _grams(words) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     gb, gc = (g >> np.uint64(64 - BITS)).astype(np.int64), (g >> np.uint64(64 - EMB_BITS)).astype(np.int64)
     wh = _word_hashes(words)
-    wb, wc = wh >> np.uint32(32 - BITS), wh >> np.uint32(32 - EMB_BITS)
-    first = np.searchsorted(owner, np.arange(len(words) + 1))
-    grams_of = lambda ws: np.concatenate([gb[first[w]:first[w + 1]] for w in ws]) if len(ws) else gb[:0]
+    wb, wc = wh >> np.uint32(32 - BITS), np.append(wh >> np.uint32(32 - EMB_BITS), 0).astype(np.int64)
+    first = np.append(np.searchsorted(owner, np.arange(len(words) + 1)), len(owner))
+    n_grams = np.diff(first)
     counts = {k: np.zeros(1 << BITS, np.int32) for k in ("w1", "w0", "g1", "g0")}
     for d, t in zip(ids, y, strict=True):
         u = np.unique(d)
+        size = n_grams[u]
         counts[f"w{int(t)}"][np.unique(wb[u])] += 1
-        counts[f"g{int(t)}"][np.unique(grams_of(u))] += 1
+        counts[f"g{int(t)}"][np.unique(gb[np.repeat(first[u] - np.cumsum(size) + size, size) + np.arange(size.sum())])] += 1
     model.word_odds = _odds(counts["w1"], counts["w0"], n_pos, n_neg).astype(np.float32)
     model.gram_odds = _odds(counts["g1"], counts["g0"], n_pos, n_neg).astype(np.float32)
-    # the evidence of words without the label of the document that is read
-    own = []
-    for k in (1, 0):
-        go = _odds(np.maximum(counts["g1"] - (k == 1), 0), np.maximum(counts["g0"] - (k == 0), 0), n_pos - (k == 1), n_neg - (k == 0))
-        wo = _odds(np.maximum(counts["w1"] - (k == 1), 0), np.maximum(counts["w0"] - (k == 0), 0), n_pos - (k == 1), n_neg - (k == 0))
-        own.append(np.column_stack([wo[wb], _per_word(go[gb].astype(np.float32), owner, len(words), np.maximum)]).astype(np.float32))
-    own = {1: own[0], 0: own[1]}
-    windows, doc = _window_ids(ids, len(words))
-    label = y[doc]
-    n_grams = np.maximum(np.diff(first), 1).astype(np.float32)
-
-    def char():
-        return _per_word(model.p["char"][gc], owner, len(words), np.add) / n_grams[:, None]
-
-    def scored():
-        parts = [model.p["word"][wc], char()]
-        out = np.empty(len(windows), np.float32)
-        for k in (0, 1):
-            at = np.flatnonzero(label == k)
-            out[at] = model.logits(np.column_stack([own[k], *parts]).astype(np.float32), windows[at])
-        return out
-
-    evidence = np.empty(len(windows), np.float32)
+    own = {}  # the evidence of words without the label of the document that is read
     for k in (0, 1):
-        at = np.flatnonzero(label == k)
-        evidence[at] = np.append(own[k].sum(axis=1), -1e3)[windows[at]].max(axis=1)
+        less = [np.maximum(counts[f"{x}{c}"] - (k == c), 0) for x in "wg" for c in (1, 0)]
+        wo, go = _odds(*less[:2], n_pos - (k == 1), n_neg - (k == 0)), _odds(*less[2:], n_pos - (k == 1), n_neg - (k == 0))
+        own[k] = np.column_stack([wo[wb], _per_word(go[gb].astype(np.float32), owner, len(words), np.maximum)]).astype(np.float32)
+        own[k] = np.vstack([own[k], np.zeros(2, np.float32)])
+    flat, doc, _, last = _layout(ids, len(words))
+    bound = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+
+    def highest():
+        char = _per_word(np.take(model.p["char"], gc, axis=0), owner, len(words), np.add)
+        best, where = np.empty(len(last), np.float32), np.empty(len(last), np.int64)
+        for k in (0, 1):  # documents of a class, in the layout that they have alone
+            f, _, _, ends = _layout([ids[i] for i in np.flatnonzero(y == k)], len(words))
+            to = np.flatnonzero(y[doc] == k)
+            best[to], where[to] = model.highest(_joined(*own[k][:-1].T, model.p["word"][wc[:-1]], char, n_grams[:-1]), f, ends)
+        return best, where
+
+    sums = [own[k].sum(axis=1)[flat[:len(last) * STARTS]].reshape(-1, STARTS) for k in (1, 0)]
+    odds = np.where((y[doc] == 1)[:, None], *sums)
+    odds[np.arange(STARTS) > last[:, None]] = -np.inf
+    best, where = odds.max(axis=1), odds.argmax(axis=1)  # windows that begin at the word of the highest evidence
     memory = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.p.items()}
     clock = 0
     for turn in range(rounds):
-        value = evidence if turn == 0 else scored()
-        order = np.lexsort((-value, doc))
-        place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-        chosen = order[(place < 1) | ((label[order] == 0) & (place < 2))]  # the worst window; of clean ones, two
+        if turn:
+            best, where = highest()
+        order = np.lexsort((-best, doc))
+        place = np.arange(len(order)) - bound[doc[order]]
+        chosen = {k: order[(y[doc[order]] == k) & (place < (1 if k else 2)) & np.isfinite(best[order])] for k in (0, 1)}  # the worst window; of clean ones, two
         for _ in range(steps):
-            at = rng.choice(chosen, 128)
-            w = windows[at].T
-            live = (w < len(words)).astype(np.float32)[:, :, None]
-            w = np.minimum(w, max(len(words) - 1, 0))
-            k = label[at].astype(int)
-            odds = np.where((k == 1)[None, :, None], own[1][w], own[0][w])
+            at = np.concatenate([rng.choice(chosen[k], batch // 2) for k in (0, 1)])
+            w = flat[at * STARTS + np.arange(BLOCK)[:, None]]
+            begin = where[at] if turn else np.maximum(where[at] - rng.integers(0, WINDOW, len(at)), 0)
+            inside = (np.arange(BLOCK)[:, None] >= begin) & (np.arange(BLOCK)[:, None] < begin + WINDOW)
+            live = (w < len(words)).astype(np.float32)
             used, back = np.unique(w, return_inverse=True)
-            spans = [np.arange(first[u], first[u + 1]) for u in used]
-            flat = np.concatenate(spans) if spans else first[:0]
-            of = np.repeat(np.arange(len(used)), [len(s) for s in spans])
-            chars = np.zeros((len(used), EMB), np.float32)
-            np.add.at(chars, of, model.p["char"][gc[flat]])
-            chars /= n_grams[used][:, None]
             back = back.reshape(w.shape)
-            x = np.concatenate([odds, model.p["word"][wc[w]], chars[back]], axis=2).astype(np.float32) * live
-            grad, dx = model.step(x, live, label[at])
-            dx = dx * live
-            grad["word"] = np.zeros_like(model.p["word"])
-            np.add.at(grad["word"], wc[w].ravel(), dx[:, :, 2:2 + EMB].reshape(-1, EMB))
-            per = np.zeros((len(used), EMB), np.float32)
-            np.add.at(per, back.ravel(), dx[:, :, 2 + EMB:].reshape(-1, EMB))
-            grad["char"] = np.zeros_like(model.p["char"])
-            np.add.at(grad["char"], gc[flat], (per / n_grams[used][:, None])[of])
+            size = first[used + 1] - first[used]
+            of = np.repeat(np.arange(len(used)), size)
+            grams = gc[np.repeat(first[used] - np.cumsum(size) + size, size) + np.arange(len(of))]
+            shared = np.maximum(size, 1).astype(np.float32)[:, None]
+            chars = _per_word(np.take(model.p["char"], grams, axis=0), of, len(used), np.add) / shared
+            evidence = np.where((y[doc[at]] == 1)[None, :, None], own[1][w], own[0][w])
+            x = np.concatenate([evidence, model.p["word"][wc[w]], chars[back]], axis=2) * live[:, :, None]
+            grad, dx, _ = model.step(x, live[:, :, None], inside * live, y[doc[at]])
+            dx = (dx * live[:, :, None])[:, :, 2:].reshape(-1, 2 * EMB)
+            per = np.zeros((len(used), 2 * EMB), np.float32)
+            np.add.at(per, back.ravel(), dx)
+            grad["word"], grad["char"] = np.zeros_like(model.p["word"]), np.zeros_like(model.p["char"])
+            np.add.at(grad["word"], wc[used], per[:, :EMB])
+            np.add.at(grad["char"], grams, (per[:, EMB:] / shared)[of])
             clock += 1
             for name, v in grad.items():
                 m, s = memory[name]
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
                 if name in ("word", "char"):
-                    model.p[name] *= 0.998
-                model.p[name] -= (0.01 * (m / (1 - 0.9**clock)) / (np.sqrt(s / (1 - 0.999**clock)) + 1e-7)).astype(np.float32)
-    top = np.full(len(ids), -np.inf)
-    for k in (0, 1):
-        at = np.flatnonzero(y == k)
-        x = np.column_stack([own[k], model.p["word"][wc], char()]).astype(np.float32)
-        top[at] = _highest([ids[i] for i in at], len(words), lambda flat, x=x: model.logits_along(x, flat))
+                    model.p[name] *= DECAY
+                model.p[name] -= (RATE * (m / (1 - 0.9**clock)) / (np.sqrt(s / (1 - 0.999**clock)) + 1e-7)).astype(np.float32)
+    top = np.maximum.reduceat(highest()[0].astype(np.float64), bound)
     weight = np.where(y == 1, prior / n_pos, (1 - prior) / n_neg)
     a, b = 1.0, 0.0
     for _ in range(300):  # scale and shift to the prior, by gradient steps
@@ -378,25 +370,28 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """Train on at most ``sample`` labelled rows of either class, outside the held-out third. A doc_id labelled more
-    than once counts as toxic if any row says so; null labels and ids are left out."""
+    than once counts as toxic if any row says so; null labels and ids are left out, and so are labels of documents that
+    are missing, null or longer than ``chars``, before the sample is drawn."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    share = known.agg(F.avg("toxic")).first()[0]
-    if share is None:
+    fitting = docs.filter(F.length("text") <= chars).select("doc_id", F.xxhash64("text").alias("own"))
+    ranked = known.join(fitting, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+    drawn, shares = [], known.agg(F.avg("toxic")).first()[0]
+    if shares is None:
         return train([], np.zeros(0), 0.5)
-    rows = []
-    for k in (0, 1):
-        drawn = known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
-        found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").filter(F.length("text") <= chars)
-        found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-        rows += found.select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], np.array([r.toxic for r in rows]), float(share))
+    for k in (0, 1):  # bounded by the sample: ids and hashes alone
+        drawn += ranked.filter(F.col("toxic") == k).orderBy("draw", "doc_id", "own").limit(sample).collect()
+    if not drawn:
+        return train([], np.zeros(0), 0.5)
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.own, r.toxic) for r in drawn], "doc_id long, own long, toxic int").distinct()
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("own")).join(F.broadcast(wanted), ["doc_id", "own"]).drop("own")
+    rows = sorted(found.distinct().collect(), key=lambda r: (r.doc_id, r.text))
+    return train([r.text for r in rows], np.array([r.toxic for r in rows]), float(shares))
 
 
 def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with score: 0 to 1, higher where label 1 is likelier. Null and wordless texts get the score of an empty
-    window. Repeated rows score alike; columns named score are replaced; an empty table gives no rows."""
+    window. Repeated rows score alike; a column named score is replaced; an empty table gives no rows."""
     spark = docs.sparkSession
     docs = docs.drop("score")
     sent = spark.sparkContext.broadcast(vars(model))  # tables of fixed size, some 8 MB
