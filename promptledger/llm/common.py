@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,12 @@ HOT_KEYS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where that is unset, one in the temporary
+    folder, if all run in this process; on a cluster, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -32,12 +36,68 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch to drop a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def freeze(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: one evaluation, no lineage, safe from lost executors. With
-    ``by`` (a column of few values) the table lies in a folder for each value, and a filter on it reads those alone."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, partitionBy=by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: one evaluation, no lineage, safe from lost executors, and no
+    shuffle files left. With ``by`` (a column of few values) the table lies in a folder for each value, and a filter on it
+    reads those alone."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, partitionBy=by)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.frozen_at = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete frozen tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.frozen_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for each row, in a column of the name returned, which no other column has.
+
+    The number is the place of the row in its file, so that it is the same whenever the table is read, however it is split.
+    What is not read from files is written first. A table of files takes part in a broadcast: a row each.
+    """
+    spark, name = docs.sparkSession, unused("_row", docs.columns)
+    try:
+        if "_metadata" in (c.lower() for c in docs.columns):
+            raise AnalysisException("a column hides the files' own")
+        return _placed(docs, name), name
+    except AnalysisException:
+        return _placed(freeze(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]), "numbered"), name, docs.columns), name
+
+
+def _placed(docs: DataFrame, name: str, names: list[str] | None = None) -> DataFrame:
+    """The table read from files with its rows' numbers, and its columns by ``names``."""
+    placed = docs.select(*columns_of(docs), F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(f"{name}_index"))
+    paths = sorted(r[0] for r in placed.select(f"{name}_file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, i << 40) for i, p in enumerate(paths)], f"{name}_file string, {name}_first long")
+    rows = placed.join(F.broadcast(files), f"{name}_file")
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names or docs.columns, strict=True)]
+    return rows.select(*own, (F.col(f"{name}_first") + F.col(f"{name}_index")).alias(name))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -8,12 +8,13 @@ every item within 21 differing bits. At a similarity of 0.8 the differing bits n
 deviation of 3, so a miss at 21 is a matter of one in ten thousand at the very edge and rarer above. The exact
 similarity decides.
 
-The index goes to every task. Benchmarks are sets that people wrote, but their size is checked: beyond ``MOST_WORDS``
+The index is built once by each worker. Benchmarks are sets that people wrote, but their size is checked: beyond ``MOST_WORDS``
 they are taken in parts, one pass over the documents each.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, freeze
+from .common import documents, freeze, unused
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 21, 11
 MOST_WORDS, WORDS_A_BATCH = 2_000_000, 100_000
@@ -92,18 +93,23 @@ class Index:
 
     @staticmethod
     def _table(fp, low, high):
-        """For each value of the block, which items have it up to one flipped bit."""
-        value = (fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-        every = np.arange(1 << (high - low), dtype=np.uint64)
-        return np.bitwise_count(every[:, None] ^ value[None, :]) <= 1
+        """Postings of a block: the items that have each value up to one flipped bit, in a row, and where each value's begin."""
+        value = ((fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+        near = value[:, None] ^ np.append(0, 1 << np.arange(high - low))
+        order = np.argsort(near.ravel(), kind="stable")
+        return order // near.shape[1], np.searchsorted(near.ravel()[order], np.arange((1 << (high - low)) + 1))
 
     def lookup(self, n: int, fp: np.ndarray) -> np.ndarray:
-        """(fingerprint, item of n words) pairs within RADIUS, found by the block tables."""
+        """(fingerprint, item of n words) pairs within RADIUS, found by the block postings."""
         own, tables = self.tables[n]
-        found = np.zeros((len(fp), len(own)), bool)
-        for (low, high), table in zip(zip(CUTS, CUTS[1:], strict=False), tables, strict=True):
-            found |= table[((fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)]
-        w, i = np.nonzero(found)
+        found = []
+        for (low, high), (items, begin) in zip(zip(CUTS, CUTS[1:], strict=False), tables, strict=True):
+            value = ((fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+            size = begin[value + 1] - begin[value]
+            at = np.repeat(begin[value] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            found.append(np.repeat(np.arange(len(fp)), size) * len(own) + items[at])
+        pairs = np.unique(np.concatenate(found))
+        w, i = pairs // len(own), pairs % len(own)
         near = np.bitwise_count(fp[w] ^ own[i]) <= RADIUS
         return np.column_stack([w[near], i[near]])
 
@@ -178,28 +184,26 @@ def _parts(benchmark: DataFrame, most_words: int):
         yield held
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
-    """``docs`` with matches: for each benchmark item in the text its best window (item_id, start_word, n_words,
-    similarity), in order of item_id; empty where there is none.
+#: The index that this worker built last, by the name of its items' broadcast.
+_BUILT: dict[str, Index] = {}
 
-    Null and empty texts match nothing, nor do items without words; items of fewer than five words are compared as one
-    shingle. A text shorter than an item is one window. Of windows that tie, the first counts; an item_id that has
-    several texts counts once. Repeated rows are all marked; a column named matches is replaced; no rows give no rows.
-    """
-    spark = docs.sparkSession
-    docs = docs.drop("matches")
-    where = docs.columns.index(text)
-    out, parts = docs, list(_parts(benchmark, most_words)) or [[]]
+
+def _with_matches(docs: DataFrame, benchmark: DataFrame, text: str, most_words: int, name: str) -> DataFrame:
+    """``docs`` with the matches in a column ``name`` that it does not have."""
+    where, out = docs.columns.index(text), docs
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, MATCH)])
+    parts = list(_parts(benchmark, most_words)) or [[]]
     for k, part in enumerate(parts):
-        sent = spark.sparkContext.broadcast(part)
-        last = k == len(parts) - 1
-        schema = T.StructType([*docs.schema.fields, T.StructField("matches", MATCH)])
+        sent, token = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
 
-        def run(batches, sent=sent, schema=schema):
-            index = Index(sent.value)
+        def run(batches, sent=sent, token=token, more=k > 0):
+            if token not in _BUILT:
+                _BUILT.clear()
+                _BUILT[token] = Index(sent.value)
+            index = _BUILT[token]
             for b in batches:
-                cols = dict(zip(b.schema.names, b.columns, strict=True))
-                before = cols["matches"].to_pylist() if "matches" in cols else [[]] * b.num_rows
+                before = b.columns[-1].to_pylist() if more else [[]] * b.num_rows
                 found, pending, size = [], [], 0
                 for t in b.column(where):
                     pending.append(tokens(t.as_py()))
@@ -215,16 +219,32 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_w
                         if i not in both or x > both[i]["similarity"]:
                             both[i] = {"item_id": i, "start_word": s, "n_words": n, "similarity": x}
                     new.append([both[i] for i in sorted(both)])
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
-                keep = [n for n in b.schema.names if n != "matches"]
-                yield pa.RecordBatch.from_arrays([*(cols[n] for n in keep), pa.array(new, kind)], names=[*keep, "matches"])
+                keep = b.columns[:-1] if more else b.columns
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(new, kind)], names=schema.names)
 
         out = out.mapInArrow(run, schema)
-        if not last:
+        if k < len(parts) - 1:
             out = freeze(out, "decontam")
     return out
 
 
+def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+    """``docs`` with matches: for each benchmark item in the text its best window (item_id, start_word, n_words,
+    similarity), in order of item_id; empty where there is none.
+
+    Null and empty texts match nothing, nor do items without words; items of fewer than five words are compared as one
+    shingle. A text shorter than an item is one window. Of windows that tie, the first counts; an item_id that has
+    several texts counts once. Repeated rows are all marked; a column named matches is replaced; no rows give no rows.
+    """
+    return _with_matches(docs.drop("matches"), benchmark, text, most_words, "matches")
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with its columns, whatever their names."""
+    name = unused("_matches", docs.columns)
+    return _with_matches(docs, benchmark, text, most_words, name).filter(F.size(name) == 0).drop(name)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
     return found.select(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, freeze, lookup, word_count
+from .common import columns_of, discard, documents, freeze, lookup, numbered, unused, word_count
 
 WEIGHTS, RATIO, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 
@@ -88,19 +88,9 @@ def _cut(queue: DataFrame, total: int, rows: int, ratio: float) -> float:
     return -1.0 if last is None else last
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: int = CAP, seed: str = SEED,
-        carry: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target, taken: words the mix takes, so taken / size
-    (0, 1 or 2) is how often it repeats the document.
-
-    Null texts have size 0 and are never taken. A null source is a source of its own, last in order. Equal rows share
-    one place in their source's order, in which ties fall to doc_id, then size; equal finish times are taken together
-    or not at all. With ``carry`` false only doc_id and source pass through, which spares a shuffle of the texts. An empty table gives an empty result. All columns pass through; names beginning with an underscore
-    and the added ones are reserved. Reruns give the same rows, whatever the partitions.
-    """
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    narrow = freeze(sized.select("doc_id", "source", "size"), "mix-sizes")
-    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+def taken(sizes: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """Frozen ``sizes`` (doc_id, source, size and whatever else tells a row) with source_size, target and taken."""
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sums = freeze(sums, "mix-sources")
     total, rows = sums.agg(F.sum("source_size"), F.sum("_rows")).first()
     total, rows = total or 0, rows or 0
@@ -110,23 +100,41 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: int = CAP,
         .select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("_source"), "source_size", "target", "_rows"),
         "mix-targets",
     )
-    queue = _queued(narrow, stats, rows, seed)
-    queue = queue if carry else freeze(queue, "mix-queue")
+    queue = freeze(_queued(sizes, stats, rows, seed), "mix-queue")
+    discard(sums, stats)
     cut = _cut(queue, total, rows, ratio)
-    if carry:
-        queue = _queued(sized, stats, rows, seed)
     times = F.when(F.col("f1") <= cut, 1).otherwise(0) + F.when((F.col("f2") <= cut) & F.lit(cap > 1), 1).otherwise(0)
     return queue.withColumn("taken", F.col("size") * times).drop("f1", "f2")
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for each row of ``docs`` (doc_id, text, source, ...). taken: words
+    the mix takes, so taken / size (0, 1 or 2) is how often it repeats the document.
+
+    Null texts have size 0 and are never taken. A null source is a source of its own, last in order. Equal rows share
+    one place in their source's order, in which ties fall to doc_id, then size; equal finish times are taken together
+    or not at all. An empty table gives an empty result; other columns are ignored. Reruns give the same rows, whatever the
+    partitions.
+    """
+    sizes = freeze(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return taken(sizes, **options)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it was taken."""
-    chosen = mix(docs.withColumn("_own", F.lit(1)), **options).filter("taken > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(*docs.columns)
+    """The mix itself: the columns of ``docs``, whatever their names, each row as often as ``mix`` takes it. The queue is of
+    row numbers and sizes; the texts are shuffled once, to meet how often they are taken."""
+    rows, row = numbered(docs)
+    sizes = rows.select(F.col(row).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sizes = freeze(sizes, "mix-sizes")
+    copies = unused("_copies", rows.columns)
+    chosen = freeze(taken(sizes, **options).filter("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(copies)), "mix-taken")
+    discard(sizes)
+    many = rows.join(chosen, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return many.select(*columns_of(docs))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), carry=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

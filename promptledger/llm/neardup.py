@@ -14,6 +14,9 @@ Those links only spare work. What they leave apart is settled exactly, by prefix
 rare ones first, two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of each. Documents
 of different groups that meet under such a shingle are compared, all pairs of them that size and position allow; a
 shingle of many documents is dealt in blocks, and each pair of blocks is a join key of its own.
+
+Texts are read in place: one pass makes sketches and prefixes, and each verification reads again those that a bitmap of
+fixed size marks as wanted, shuffles these alone, and drops what the bitmap marked by chance.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze, lookup
+from .common import columns_of, discard, freeze, lookup, numbered
 from .simhash import components, fingerprint, shingle_hashes, trie_edges, words
 
 SHINGLE, SIMILARITY, DISTANCE, LEAST = 5, 0.8, 4, 6
@@ -38,22 +41,44 @@ BLOCK = 128
 #: shingles gives the same pairs; this one keeps passages of many documents out of the prefixes.
 COUNTED, FREQUENT = 20_000, 100_000
 
+#: Bits of the map of wanted rows.
+BITMAP = 1 << 26
 
-def _sketch(batches):
-    for b in batches:
-        fp, digest, keys, top = [], [], [], []
-        for t in b.column(1):
-            w = words(t.as_py())
-            h = shingle_hashes(w, SHINGLE)
-            least = np.unique(h)[:LEAST].tolist()
-            pairs = combinations(least, 2) if len(least) > 1 else [(x, x) for x in least]
-            fp.append(fingerprint(h))
-            top.append(int(h.max()) - (1 << 63) if len(h) else 0)
-            digest.append(xxhash.xxh3_128_digest(b" ".join(w)))
-            keys.append([xxhash.xxh64_intdigest(b"%d %d" % p) - (1 << 63) for p in pairs])
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(top, pa.int64())],
-            names=["row", "doc_id", "fp", "digest", "keys", "top"])
+
+def _sketches(often: np.ndarray, count: np.ndarray):
+    """(row, doc_id, text) -> what stands for a text; ``often``: frequent shingles, sorted, and their counts."""
+
+    def prefix(h):
+        h = np.unique(h >> np.uint64(1)).astype(np.int64)
+        if len(often):
+            at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+            h = h[np.lexsort((h, np.where(often[at] == h, count[at], 0)))]
+        return len(h), h[: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
+
+    def run(batches):
+        for b in batches:
+            fp, digest, keys, top, size, first = [], [], [], [], [], []
+            for t in b.column(2):
+                w = words(t.as_py())
+                h = shingle_hashes(w, SHINGLE)
+                least = np.unique(h)[:LEAST].tolist()
+                pairs = combinations(least, 2) if len(least) > 1 else [(x, x) for x in least]
+                fp.append(fingerprint(h))
+                top.append(int(h.max()) - (1 << 63) if len(h) else 0)
+                digest.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                keys.append([xxhash.xxh64_intdigest(b"%d %d" % p) - (1 << 63) for p in pairs])
+                n, p = prefix(h)
+                size.append(n)
+                first.append(p)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(top, pa.int64()), pa.array(size, pa.int64()), pa.array(first, longs)],
+                names=["row", "doc_id", "fp", "digest", "keys", "top", "size", "prefix"])
+
+    return run
+
+
+SKETCH = "row long, doc_id long, fp long, digest binary, keys array<long>, top long, size long, prefix array<long>"
 
 
 def _set(text):
@@ -84,46 +109,57 @@ def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in top], np.int64), np.array([n for _, n in top], np.int64)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows whose shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = freeze(texts.join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "near-sets")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    return freeze(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "near-links")
+def _marked(rows: DataFrame) -> np.ndarray:
+    """A bitmap of BITMAP bits in which the bit of each of ``rows`` (row) is set."""
+    at = F.pmod(F.xxhash64("row"), F.lit(BITMAP))
+    words_ = rows.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(row), {BITMAP}) & 63 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+    out = np.zeros(BITMAP // 64, np.int64)
+    got = words_.toArrow()  # at most BITMAP / 64 rows
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out
 
 
-def _pairs_apart(texts: DataFrame, tied: DataFrame, rows: int) -> DataFrame:
-    """Pairs (a, b) of rows in different groups of ``tied`` (node, root), among them all that are similar enough."""
-    sent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, rows))
+def _verified(texts: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows whose shingle sets are similar enough. ``sizes``: (row, size) of their sets."""
+    least = F.lit(SIMILARITY - 1e-9)
+    x, y = (sizes.select(F.col("row").alias(k), F.col("size").alias(f"n_{k}")) for k in "ab")
+    pairs = pairs.join(x, "a").join(y, "b").filter((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a")))
+    pairs = freeze(pairs.select("a", "b"), "near-sized")
+    wanted = freeze(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-wanted")
+    sent = texts.sparkSession.sparkContext.broadcast(_marked(wanted))
 
-    def prefixes(batches):
-        often, count = sent.value
+    def some(batches):
         for b in batches:
-            size, keys = [], []
-            for t in b.column(1):
-                h = _set(t.as_py())
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    h = h[np.lexsort((h, np.where(often[at] == h, count[at], 0)))]
-                size.append(len(h))
-                keys.append(h[: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "size", "keys"])
-
-    held = texts.mapInArrow(prefixes, "row long, size long, keys array<long>").join(tied.withColumnRenamed("node", "row"), "row", "left")
-    held = freeze(held.select("row", "size", F.coalesce("root", "row").alias("root"), "keys"), "near-prefixes")
-    held = held.select("row", "size", "root", F.posexplode("keys").alias("pos", "key"))
+            at = b.column(2).to_numpy()
+            on = (sent.value[at >> 6] >> (at & 63)) & 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["row", "text"]).filter(pa.array(on == 1))
+
+    marked = texts.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(BITMAP)).alias("at")).mapInArrow(some, "row long, text string")
+    sets = freeze(marked.join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "near-sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    links = freeze(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "near-links")
+    discard(pairs, wanted, sets)
+    return links
+
+
+def _pairs_apart(leads: DataFrame, tied: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows in different groups of ``tied`` (node, root), among them all that are similar enough."""
+    held = leads.select("row", "size", "prefix").join(tied.withColumnRenamed("node", "row"), "row", "left")
+    held = freeze(held.select("row", "size", F.coalesce("root", "row").alias("root"), F.posexplode("prefix").alias("pos", "key")), "near-prefixes")
     between = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key", "n")
-    held = lookup(held, freeze(between, "near-between"), "key", "n").filter("n is not null")
+    between = freeze(between, "near-between")
+    met = lookup(held, between, "key", "n").filter("n is not null")
     blocks = F.ceil(F.col("n") / BLOCK)
-    held = held.withColumn("own", F.pmod(F.xxhash64("row"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    held = held.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "size", "root", "pos")
-    held = freeze(held, "near-blocks")
-    x, y = (held.select("key", "i", "j", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "row", "size", "root", "pos")]) for s in "xy")
-    met = x.join(y, ["key", "i", "j"]).filter("own_x = i and own_y = j and root_x <> root_y and (i < j or row_x < row_y)")
+    met = met.withColumn("own", F.pmod(F.xxhash64("row"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = freeze(met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "size", "root", "pos"), "near-blocks")
+    x, y = (met.select("key", "i", "j", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "row", "size", "root", "pos")]) for s in "xy")
+    pairs = x.join(y, ["key", "i", "j"]).filter("own_x = i and own_y = j and root_x <> root_y and (i < j or row_x < row_y)")
     # if this shingle is the first they share, no more than it and what follows it in both is common
     least = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size_x") + F.col("size_y")) - 1e-9
-    met = met.filter(F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y")) >= least)
-    return freeze(met.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct(), "near-apart")
+    pairs = pairs.filter(F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y")) >= least)
+    pairs = freeze(pairs.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct(), "near-apart")
+    discard(held, between, met)
+    return pairs
 
 
 def _lags(batches):
@@ -146,8 +182,9 @@ def _lags(batches):
         yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in end), pa.array([None], pa.int64()), pa.array([False]), pa.array([True])], names=names)
 
 
-def _neighbours(met: DataFrame) -> DataFrame:
-    """(key, top, row, first) -> (row, other): each row with its key's first and with the one before it by (top, row)."""
+def _neighbours(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, top, row, first) -> (row, other): each row with its key's first and with the one before it by (top, row); and
+    the table that this reads."""
     ordered = met.select("key", "top", "row", "first").repartitionByRange("key", "top", "row").sortWithinPartitions("key", "top", "row")
     ordered = freeze(ordered.mapInArrow(_lags, "key long, top long, row long, first long, last long, head boolean, tail boolean"), "near-order")
     ends = ordered.filter("head or tail").select("key", "top", "row", "tail").collect()  # two a partition
@@ -158,21 +195,24 @@ def _neighbours(met: DataFrame) -> DataFrame:
         elif end is not None and end["key"] == r["key"]:
             across.append((r["row"], end["row"]))
     inside = ordered.filter("not tail").select("row", F.explode(F.array("first", "last")).alias("other"))
-    return inside.unionByName(met.sparkSession.createDataFrame(across, "row long, other long")).filter("other <> row")
+    return inside.unionByName(met.sparkSession.createDataFrame(across, "row long, other long")).filter("other <> row"), ordered
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """Frozen ``docs`` (doc_id, text, row; row unique) -> (row, first): ``first`` is the row that stands for the
-    document's group, the one of its smallest doc_id, then row; null doc_ids stand last."""
-    rows = freeze(docs.select("row", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_sketch, "row long, doc_id long, fp long, digest binary, keys array<long>, top long"), "near-rows")
+    """``docs`` (doc_id, text, row; row unique and the same at every reading) -> (row, first): ``first`` is the row that
+    stands for the document's group, the one of its smallest doc_id, then row; null doc_ids stand last."""
+    texts = docs.select("row", "text")
+    run = _sketches(*_frequent(texts, docs.count()))
+    rows = freeze(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH), "near-rows")
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     copies = freeze(rows.groupBy("digest").agg(order.alias("o"), F.count(F.lit(1)).alias("n")).select("digest", F.col("o.row").alias("lead"), F.col("o.doc_id").alias("lead_id"), "n"), "near-copies")
-    leads = freeze(copies.select(F.col("lead").alias("row")).join(rows, "row"), "near-leads")
+    leads = freeze(copies.select(F.col("lead").alias("row")).join(rows.drop("digest"), "row"), "near-leads")
+    sizes = leads.select("row", "size")
 
     keyed = leads.select("row", "top", F.explode("keys").alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = lookup(keyed, freeze(firsts, "near-keys"), "key", "n").filter("first is not null")
-    pairs = _neighbours(met)
+    firsts = freeze(keyed.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-keys")
+    met = lookup(keyed, firsts, "key", "n").filter("first is not null")
+    pairs, ordered = _neighbours(met)
     pairs = pairs.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
     of_print = freeze(leads.groupBy("fp").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "near-prints")
     close = trie_edges(of_print.select("fp"), DISTANCE)
@@ -180,26 +220,32 @@ def near_groups(docs: DataFrame) -> DataFrame:
     close = close.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     same = lookup(leads.select("row", "fp"), of_print.select("fp", F.col("row").alias("a"), "n"), "fp", "n").filter("a <> row").select("a", F.col("row").alias("b"))
     pairs = freeze(pairs.unionByName(close).unionByName(same).distinct(), "near-pairs")
+    discard(firsts, ordered, of_print)
 
-    texts = freeze(docs.select("row", "text").join(leads.select("row"), "row", "left_semi"), "near-texts")
-    links = _verified(texts, pairs)
-    apart = _verified(texts, _pairs_apart(texts, freeze(components(links), "near-ties"), leads.count()))
+    links = _verified(texts, pairs, sizes)
+    ties = freeze(components(links), "near-ties")
+    more = _pairs_apart(leads, ties)
+    apart = _verified(texts, more, sizes)
     tied = freeze(components(links.unionByName(apart)), "near-components")
+    discard(pairs, links, ties, more, apart)
 
     member = copies.join(tied.withColumnRenamed("node", "lead"), "lead", "left").withColumn("root", F.coalesce("root", "lead"))
     first = F.min(F.struct(F.col("lead_id").isNull(), "lead_id", "lead")).alias("o")
     best = member.groupBy("root").agg(first).select("root", F.col("o.lead").alias("first"))
     member = freeze(member.join(best, "root").select("digest", "first", "n"), "near-members")
-    return lookup(rows.select("row", "digest"), member, "digest", "n").select("row", "first")
+    found = freeze(lookup(rows.select("row", "digest"), member, "digest", "n").select("row", "first"), "near-found")
+    discard(rows, copies, leads, tied, member)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest doc_id.
 
-    Texts of equal words (A to Z lower-cased) are copies; texts without words are copies of each other. Repeated rows
-    leave one; null doc_ids stand behind all others. No rows give no rows, and all columns pass through.
+    Texts of equal words (A to Z lower-cased) are copies; texts without words are copies of each other, and a text of any
+    length is read whole. Repeated rows leave one; null doc_ids stand behind all others. No rows give no rows, and all columns
+    pass through, whatever their names.
     """
-    frozen = freeze(docs.withColumn("_row", F.monotonically_increasing_id()), "near-docs")
-    groups = near_groups(frozen.select("doc_id", "text", F.col("_row").alias("row")))
-    kept = groups.filter("row = first").select(F.col("row").alias("_row"))
-    return frozen.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs)
+    found = near_groups(rows.select("doc_id", "text", F.col(row).alias("row")))
+    kept = found.filter("row = first").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*columns_of(docs))

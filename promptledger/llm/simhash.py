@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, freeze, lookup
+from .common import discard, documents, freeze, lookup
 from .trie import self_join
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -163,6 +163,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # done when every node has one edge and no root is itself below another node
         nodes = after.groupBy("u").count().agg(F.max("count")).first()[0] or 0
         deep = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        discard(edges)
         edges = after
         if nodes <= 1 and not deep:
             break

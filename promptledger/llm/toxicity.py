@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, unused
 
 WINDOW, BLOCK, HIDDEN = 24, 64, 8
 STARTS = BLOCK - WINDOW + 1  # windows that begin in a block, and the words from one block to the next
@@ -389,14 +389,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
     return train([r.text for r in rows], np.array([r.toxic for r in rows]), float(shares))
 
 
-def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with score: 0 to 1, higher where label 1 is likelier. Null and wordless texts get the score of an empty
-    window. Repeated rows score alike; a column named score is replaced; an empty table gives no rows."""
-    spark = docs.sparkSession
-    docs = docs.drop("score")
-    sent = spark.sparkContext.broadcast(vars(model))  # tables of fixed size, some 8 MB
+def _with_scores(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
+    """``docs`` with the score in a column ``name`` that it does not have."""
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # tables of fixed size, some 9 MB
     where = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         net = Model.__new__(Model)
@@ -412,11 +409,23 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
             if pending:
                 out.append(net.document_logits(pending))
             value = net.score(np.concatenate(out)) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with score: 0 to 1, higher where label 1 is likelier. Null and wordless texts get the score of an empty
+    window. Repeated rows score alike; a column named score is replaced; an empty table gives no rows."""
+    return _with_scores(docs.drop("score"), model, text, "score")
+
+
+def below(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores under the threshold, with its columns, whatever their names."""
+    name = unused("_score", docs.columns)
+    return _with_scores(docs, model, text, name).filter(F.col(name) < threshold).drop(name)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, documents(spark, sf_dir, "labels"))

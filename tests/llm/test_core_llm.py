@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -24,8 +25,6 @@ def test_dedup_edge_cases(spark):
     got = {}
     for r in exact_dedup.DigestIndex(spark, buckets=4).ingest(docs(spark, ODD).withColumn("row", F.lit(1))).collect():
         got.setdefault(r.text_sha256, []).append(r)
-    by = {hashlib.sha256(k.encode()).hexdigest(): v for k in () for v in ()}
-    assert not by
     same = got[hashlib.sha256(b"a b").hexdigest()]
     assert len(same) == 3 and {r.keep_id for r in same} == {4} and sum(r.kept for r in same) == 1 and same[0].group_size == 3
     empty = got[hashlib.sha256(b"").hexdigest()]
@@ -46,6 +45,52 @@ def test_dedup_second_batch_and_replay(spark):
     assert again.ingest(docs(spark, []), batch="none").count() == 0
 
 
+def test_a_compacted_index_is_read_without_a_sort_and_outlives_a_failed_rewrite(spark):
+    tables = spark.catalog.listTables
+    before = len(tables())
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    for k in range(3):
+        index.ingest(docs(spark, [(10 * k + i, f"t{k + i}", "a") for i in range(9)]), batch=str(k))
+    digests = sorted(bytes(r["digest"]) for r in index.rows().collect())
+    assert len(digests) == 11
+    index.compact()
+    assert sorted(bytes(r["digest"]) for r in index.rows().collect()) == digests and max(Counter(f.split("_")[-1] for f in index.rows().inputFiles()).values()) == 1
+    (spark.range(3).write.parquet(f"{index.path}/gen-2"))  # a rewrite that did not end
+    index.close()
+    again = exact_dedup.DigestIndex(spark, index.path, 4)
+    got = again.ingest(docs(spark, [(90, "T2", "a"), (91, "new", "a")])).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(90, 2, False), (91, 91, True)}
+    again.compact()
+    assert again.rows().count() == 12
+    again.close()
+    assert len(tables()) == before
+
+
+def test_shards_do_not_depend_on_how_files_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shard, "BLOCK_BITS", 6)
+    spark.range(0, 3000, 1, 5).selectExpr("id as doc_id", "repeat('text ', 40) as text", "'k' as _key", "'c' as _cell").write.parquet(f"{tmp_path}/t")
+    docs_, seen = spark.read.parquet(f"{tmp_path}/t"), []
+    for size in ("4k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        out = shard.shuffle_to_shards(docs_, frozen=True)
+        assert out.columns == ["doc_id", "text", "_key", "_cell", "shard", "slot"]
+        seen.append(sorted((r.doc_id, r.shard, r.slot) for r in out.collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len({(s, t) for _, s, t in seen[0]}) == 3000
+    with pytest.raises(ValueError, match="freeze"):
+        shard.shuffle_to_shards(docs_.filter("doc_id % 2 = 0"), frozen=True)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from promptledger.llm import common
+
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(remote)
+
+
 def test_mix_edge_cases(spark):
     rows = [(i, "w " * (i % 7), "abc"[i % 3] if i % 11 else None) for i in range(300)] + [(5, "w " * 5, "c")] * 3 + [(900, None, "z")]
     got = mixing.mix(docs(spark, rows)).collect()

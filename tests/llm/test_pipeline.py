@@ -70,8 +70,65 @@ def test_neighbours_of_a_hot_key_lie_side_by_side(spark):
     want = {(row, first) for _, _, row, first in rows if row != first}
     rows.sort()
     want |= {(b[2], a[2]) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0]}
-    assert {(r.row, r.other) for r in neardup._neighbours(met).collect()} == want
-    assert neardup._neighbours(met.limit(0)).count() == 0
+    assert {(r.row, r.other) for r in neardup._neighbours(met)[0].collect()} == want
+    assert neardup._neighbours(met.limit(0))[0].count() == 0
+
+
+def test_shuffled_pairs_that_share_a_long_passage(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, rows = draw(200), []
+    for g in range(1000):
+        own = draw(40)
+        other = list(own)
+        other[rng.randrange(2, 17)] = "x"
+        other[rng.randrange(22, 37)] = "y"
+        rows += [(2 * g, " ".join(own[:20] + passage + own[20:])), (2 * g + 1, " ".join(other[:20] + passage + other[20:]))]
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8 > jaccard(rows[0][1], rows[2][1])
+    rng.shuffle(rows)
+    kept = [r.doc_id for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [2 * g for g in range(1000)]
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(9000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x", *long])), (3, " ".join(long[:60_000])), (4, "short")]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_rows_keep_their_numbers_however_the_table_is_split(spark, tmp_path):
+    from promptledger.llm.common import numbered
+
+    spark.range(0, 5000, 1, 7).selectExpr("id as doc_id", "repeat('a b ', 50) as text").write.parquet(f"{tmp_path}/t")
+    docs, seen = spark.read.parquet(f"{tmp_path}/t"), []
+    for size in ("2k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows, row = numbered(docs.filter("doc_id > 9"))
+        seen.append({(r[row], r.doc_id) for r in rows.collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len({n for n, _ in seen[0]}) == 4990
+
+
+def test_columns_of_the_documents_pass_whatever_their_names(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    named = ["score", "matches", "size", "_row", "row", "taken", "target", "f1", "_key", "_copies", "_at", "_cell", "_ahead", "root", "_metadata"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.select("*", *[pipeline.F.concat_ws("-", pipeline.F.lit(n), "doc_id").alias(n) for n in named])
+    docs = docs.unionByName(docs.filter("doc_id = 3").selectExpr(*[f"cast(null as {t}) as `{c}`" for c, t in docs.dtypes]))
+    before = docs
+    for name, stage in pipeline.STAGES:
+        after = pipeline.freeze(stage(spark, before, sf), f"clash-{name}")
+        assert after.columns == docs.columns + (["shard", "slot"] if name == "sharding" else [])
+        for r in after.collect():
+            assert all(r[n] == (n if r.doc_id is None else f"{n}-{r.doc_id}") for n in named if r.lang is not None)
+        before = after
+    none = pipeline.freeze(docs.limit(0), "clash-none")
+    for _, stage in pipeline.STAGES:
+        none = pipeline.freeze(stage(spark, none, sf), "clash-none")
+    assert none.count() == 0
 
 
 def test_stages_and_their_order(spark, sf):
