@@ -8,32 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptledger.llm import decontam, mixing, neardup, shard, toxicity
-from promptledger.llm.common import documents, freeze
+from promptledger.llm.common import columns_of, documents, freeze
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold. The network learns from the labelled rows outside the held-out third."""
+    """Documents that score under the threshold. The network learns from the labelled rows outside the held-out third. Null
+    and empty texts score as an empty window; columns of any name pass through; no rows give no rows."""
     model = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
-    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.below(docs, model, toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group; see there for nulls, ties, repeated rows and names."""
     return neardup.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_items(docs, documents(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("matches") == 0).select(*docs.columns)
+    """Documents that hold no benchmark item. Null and empty texts hold none; repeated rows go or stay together; columns of
+    any name pass through; no rows give no rows."""
+    return decontam.without_items(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them."""
+    """Rows as often as the mix takes them: texts without words (null ones too) never, ties by doc_id; a null source is a
+    source; columns of any name pass through; no rows give no rows."""
     return mixing.mixed_documents(docs)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and their slot in it."""
+    """The documents with their shard and their slot in it. Every row is dealt, whatever it holds; columns named shard and
+    slot are replaced, all others pass through; no rows give no rows."""
     return shard.shuffle_to_shards(docs, frozen=True)
 
 
