@@ -31,7 +31,7 @@ STARTS = BLOCK - WINDOW + 1  # windows that begin in a block, and the words from
 SAMPLE, SAMPLE_CHARS, THRESHOLD = 2000, 20_000, 0.7
 GRAMS, BITS, EMB, EMB_BITS = (4, 5, 6), 20, 6, 14
 INPUTS = 2 + 2 * EMB
-WORDS_A_BATCH, BLOCKS_A_STEP = 200_000, 1024
+WORDS_A_BATCH, WORDS_A_RUN, BLOCKS_A_STEP = 200_000, 20_000, 1024
 RATE, DECAY = 0.01, 0.98  # of the gradient steps; decay of the embeddings
 
 _SPACES = bytes.maketrans(b".,;:!?\"()[]{}*#", b" " * 15)
@@ -41,7 +41,7 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_SPACES).split() if text else []
 
 
-def _ids(docs: list[list[bytes]]) -> tuple[list[bytes], list[np.ndarray]]:
+def _ids(docs) -> tuple[list[bytes], list[np.ndarray]]:
     """Distinct words, and each document as positions among them."""
     seen: dict[bytes, int] = {}
     out = [np.fromiter((seen.setdefault(w, len(seen)) for w in d), np.int64, len(d)) for d in docs]
@@ -279,9 +279,13 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, roun
         model.p = {k: v * 0 for k, v in model.p.items()}
         model.shift = 3.0 if n_pos else -3.0
         return model
-    words, ids = _ids([tokens(t) for t in texts])
-    g, owner = _grams(words) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    gb, gc = (g >> np.uint64(64 - BITS)).astype(np.int64), (g >> np.uint64(64 - EMB_BITS)).astype(np.int64)
+    words, ids = _ids(map(tokens, texts))
+    parts = [(np.zeros(0, np.int32),) * 3]  # in short runs and small types, for the driver's memory
+    for i in range(0, len(words), WORDS_A_RUN):
+        g, owner = _grams(words[i:i + WORDS_A_RUN])
+        parts.append(((g >> np.uint64(64 - BITS)).astype(np.int32), (g >> np.uint64(64 - EMB_BITS)).astype(np.int32), (owner + i).astype(np.int32)))
+    gb, gc, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     wh = _word_hashes(words)
     wb, wc = wh >> np.uint32(32 - BITS), np.append(wh >> np.uint32(32 - EMB_BITS), 0).astype(np.int64)
     first = np.append(np.searchsorted(owner, np.arange(len(words) + 1)), len(owner))
@@ -294,17 +298,27 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, roun
         counts[f"g{int(t)}"][np.unique(gb[np.repeat(first[u] - np.cumsum(size) + size, size) + np.arange(size.sum())])] += 1
     model.word_odds = _odds(counts["w1"], counts["w0"], n_pos, n_neg).astype(np.float32)
     model.gram_odds = _odds(counts["g1"], counts["g0"], n_pos, n_neg).astype(np.float32)
+
+    def per_word(table, buckets, how):
+        """``how`` over the rows of ``table`` that each word's grams fall on."""
+        runs = [np.zeros((0, *table.shape[1:]), np.float32)]
+        for i in range(0, len(words), WORDS_A_RUN):
+            k = slice(first[i], first[min(i + WORDS_A_RUN, len(words))])
+            runs.append(_per_word(np.take(table, buckets[k], axis=0), owner[k] - i, min(WORDS_A_RUN, len(words) - i), how))
+        return np.concatenate(runs)
+
     own = {}  # the evidence of words without the label of the document that is read
     for k in (0, 1):
         less = [np.maximum(counts[f"{x}{c}"] - (k == c), 0) for x in "wg" for c in (1, 0)]
         wo, go = _odds(*less[:2], n_pos - (k == 1), n_neg - (k == 0)), _odds(*less[2:], n_pos - (k == 1), n_neg - (k == 0))
-        own[k] = np.column_stack([wo[wb], _per_word(go[gb].astype(np.float32), owner, len(words), np.maximum)]).astype(np.float32)
-        own[k] = np.vstack([own[k], np.zeros(2, np.float32)])
+        own[k] = np.zeros((len(words) + 1, 2), np.float32)
+        own[k][:-1, 0], own[k][:-1, 1] = wo[wb], per_word(go.astype(np.float32), gb, np.maximum)
+    del gb, counts, less, wo, go
     flat, doc, _, last = _layout(ids, len(words))
     bound = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
 
     def highest():
-        char = _per_word(np.take(model.p["char"], gc, axis=0), owner, len(words), np.add)
+        char = per_word(model.p["char"], gc, np.add)
         best, where = np.empty(len(last), np.float32), np.empty(len(last), np.int64)
         for k in (0, 1):  # documents of a class, in the layout that they have alone
             f, _, _, ends = _layout([ids[i] for i in np.flatnonzero(y == k)], len(words))
