@@ -129,7 +129,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = unused("_copies", rows.columns)
     chosen = freeze(taken(sizes, **options).filter("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(copies)), "mix-taken")
     discard(sizes)
-    many = rows.join(chosen, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    many = rows.join(chosen.hint("merge"), row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return many.select(*columns_of(docs))
 
 

@@ -15,6 +15,9 @@ rare ones first, two sets of similarity s or more share one of the first n - cei
 of different groups that meet under such a shingle are compared, all pairs of them that size and position allow; a
 shingle of many documents is dealt in blocks, and each pair of blocks is a join key of its own.
 
+A pair is worth its sets only if its prefixes allow it: of the two, the one that ends first in the order holds all that both
+share up to there, so no more than the shingles common to the prefixes and what follows that one can be common.
+
 Texts are read in place: one pass makes sketches and prefixes, and each verification reads again those that a bitmap of
 fixed size marks as wanted, shuffles these alone, and drops what the bitmap marked by chance.
 """
@@ -25,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,11 +57,15 @@ def _sketches(often: np.ndarray, count: np.ndarray):
         if len(often):
             at = np.minimum(np.searchsorted(often, h), len(often) - 1)
             h = h[np.lexsort((h, np.where(often[at] == h, count[at], 0)))]
-        return len(h), h[: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
+        h = h[: (n := len(h)) - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+        if not len(h):
+            return n, h, -1, 0
+        at = min(int(np.searchsorted(often, h[-1])), len(often) - 1)
+        return n, h, int(count[at]) if len(often) and often[at] == h[-1] else 0, int(h[-1])
 
     def run(batches):
         for b in batches:
-            fp, digest, keys, top, size, first = [], [], [], [], [], []
+            fp, digest, keys, top, found = [], [], [], [], []
             for t in b.column(2):
                 w = words(t.as_py())
                 h = shingle_hashes(w, SHINGLE)
@@ -67,18 +75,17 @@ def _sketches(often: np.ndarray, count: np.ndarray):
                 top.append(int(h.max()) - (1 << 63) if len(h) else 0)
                 digest.append(xxhash.xxh3_128_digest(b" ".join(w)))
                 keys.append([xxhash.xxh64_intdigest(b"%d %d" % p) - (1 << 63) for p in pairs])
-                n, p = prefix(h)
-                size.append(n)
-                first.append(p)
+                found.append(prefix(h))
+            size, first, end_n, end_h = zip(*found, strict=True) if found else ((),) * 4
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(top, pa.int64()), pa.array(size, pa.int64()), pa.array(first, longs)],
-                names=["row", "doc_id", "fp", "digest", "keys", "top", "size", "prefix"])
+                [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(top, pa.int64()), pa.array(size, pa.int64()), pa.array(first, longs), pa.array(end_n, pa.int64()), pa.array(end_h, pa.int64())],
+                names=["row", "doc_id", "fp", "digest", "keys", "top", "size", "prefix", "end_n", "end_h"])
 
     return run
 
 
-SKETCH = "row long, doc_id long, fp long, digest binary, keys array<long>, top long, size long, prefix array<long>"
+SKETCH = "row long, doc_id long, fp long, digest binary, keys array<long>, top long, size long, prefix array<long>, end_n long, end_h long"  # end: the prefix's last, as the order has it
 
 
 def _set(text):
@@ -109,32 +116,53 @@ def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in top], np.int64), np.array([n for _, n in top], np.int64)
 
 
-def _marked(rows: DataFrame) -> np.ndarray:
-    """A bitmap of BITMAP bits in which the bit of each of ``rows`` (row) is set."""
-    at = F.pmod(F.xxhash64("row"), F.lit(BITMAP))
-    words_ = rows.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(row), {BITMAP}) & 63 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+def _marked(rows: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of BITMAP bits in which the bit of each value of the column is set, by its value modulo BITMAP."""
+    at = F.pmod(F.col(name), F.lit(BITMAP))
+    filled = rows.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{name}`, 64) as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
     out = np.zeros(BITMAP // 64, np.int64)
-    got = words_.toArrow()  # at most BITMAP / 64 rows
+    got = filled.toArrow()  # at most BITMAP / 64 rows
     out[got.column("w").to_numpy()] = got.column("b").to_numpy()
     return out
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows whose shingle sets are similar enough. ``sizes``: (row, size) of their sets."""
+def _has(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % BITMAP
+    return ((bitmap[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def _common(x: str, y: str):
+    """The least number of common shingles at which two sets are similar enough."""
+    return F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col(x) + F.col(y)) - 1e-9
+
+
+def _left(a: str, b: str):
+    """How many shingles follow the prefix that ends first."""
+    first = F.struct(f"end_n_{a}", f"end_h_{a}") <= F.struct(f"end_n_{b}", f"end_h_{b}")
+    return F.when(first, F.col(f"size_{a}") - F.col(f"long_{a}")).otherwise(F.col(f"size_{b}") - F.col(f"long_{b}"))
+
+
+def _allowed(pairs: DataFrame, leads: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows that sizes and prefixes allow."""
+    x, y = (leads.select(F.col("row").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("size", "end_n", "end_h", "prefix")], F.size("prefix").alias(f"long_{k}")) for k in "ab")
     least = F.lit(SIMILARITY - 1e-9)
-    x, y = (sizes.select(F.col("row").alias(k), F.col("size").alias(f"n_{k}")) for k in "ab")
-    pairs = pairs.join(x, "a").join(y, "b").filter((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a")))
-    pairs = freeze(pairs.select("a", "b"), "near-sized")
+    pairs = pairs.join(x.drop("prefix_a"), "a").join(y.drop("prefix_b"), "b").filter((F.col("size_a") >= least * F.col("size_b")) & (F.col("size_b") >= least * F.col("size_a")))
+    pairs = pairs.join(x.select("a", "prefix_a"), "a").join(y.select("b", "prefix_b"), "b")
+    both = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    return pairs.filter((F.col("size_a") + F.col("size_b") == 0) | (both + _left("a", "b") >= _common("size_a", "size_b"))).select("a", "b")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows whose shingle sets are similar enough."""
+    pairs = freeze(pairs, "near-allowed")
     wanted = freeze(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "near-wanted")
-    sent = texts.sparkSession.sparkContext.broadcast(_marked(wanted))
+    sent = texts.sparkSession.sparkContext.broadcast(_marked(wanted, "row"))
 
     def some(batches):
         for b in batches:
-            at = b.column(2).to_numpy()
-            on = (sent.value[at >> 6] >> (at & 63)) & 1
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["row", "text"]).filter(pa.array(on == 1))
+            yield b.filter(pa.array(_has(sent.value, b.column(0).to_numpy())))
 
-    marked = texts.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(BITMAP)).alias("at")).mapInArrow(some, "row long, text string")
+    marked = texts.select("row", "text").mapInArrow(some, "row long, text string")
     sets = freeze(marked.join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
     links = freeze(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "near-links")
@@ -144,21 +172,38 @@ def _verified(texts: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame
 
 def _pairs_apart(leads: DataFrame, tied: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows in different groups of ``tied`` (node, root), among them all that are similar enough."""
-    held = leads.select("row", "size", "prefix").join(tied.withColumnRenamed("node", "row"), "row", "left")
-    held = freeze(held.select("row", "size", F.coalesce("root", "row").alias("root"), F.posexplode("prefix").alias("pos", "key")), "near-prefixes")
-    between = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key", "n")
-    between = freeze(between, "near-between")
-    met = lookup(held, between, "key", "n").filter("n is not null")
+    held = leads.select("row", "size", "end_n", "end_h", "prefix").join(tied.withColumnRenamed("node", "row"), "row", "left")
+    held = freeze(held.withColumn("root", F.coalesce("root", "row")), "near-prefixes")
+    between = held.select("root", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
+    between = freeze(between.select("key"), "near-between")
+    sent = leads.sparkSession.sparkContext.broadcast(_marked(between, "key"))
+
+    def some(batches):  # shingles that one group has alone need not be shuffled again
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            flat = lists.flatten()
+            on = np.flatnonzero(_has(sent.value, flat.to_numpy()))
+            size = pa.compute.list_value_length(lists).to_numpy()
+            owner = np.repeat(np.arange(b.num_rows), size)[on]
+            rest = [c.take(pa.array(owner)) for c in b.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(size[owner], pa.int64()), flat.take(pa.array(on))], names=["row", "size", "end_n", "end_h", "root", "long", "key"])
+
+    shared = held.select("row", "size", "end_n", "end_h", "root", "prefix").mapInArrow(some, "row long, size long, end_n long, end_h long, root long, long long, key long")
+    shared = freeze(shared.join(between, "key", "left_semi"), "near-shared")
+    counts = freeze(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-counts")
+    met = lookup(shared, counts, "key", "n")
     blocks = F.ceil(F.col("n") / BLOCK)
     met = met.withColumn("own", F.pmod(F.xxhash64("row"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    met = freeze(met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "size", "root", "pos"), "near-blocks")
-    x, y = (met.select("key", "i", "j", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "row", "size", "root", "pos")]) for s in "xy")
+    kept = ("own", "row", "size", "root", "long", "end_n", "end_h")
+    met = freeze(met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *kept), "near-blocks")
+    x, y = (met.select("key", "i", "j", *[F.col(c).alias(f"{c}_{s}") for c in kept]) for s in "xy")
+    least = F.lit(SIMILARITY - 1e-9)
     pairs = x.join(y, ["key", "i", "j"]).filter("own_x = i and own_y = j and root_x <> root_y and (i < j or row_x < row_y)")
-    # if this shingle is the first they share, no more than it and what follows it in both is common
-    least = F.lit(SIMILARITY / (1 + SIMILARITY)) * (F.col("size_x") + F.col("size_y")) - 1e-9
-    pairs = pairs.filter(F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y")) >= least)
-    pairs = freeze(pairs.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b")).distinct(), "near-apart")
-    discard(held, between, met)
+    pairs = pairs.filter((F.col("size_x") >= least * F.col("size_y")) & (F.col("size_y") >= least * F.col("size_x")))
+    pairs = pairs.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b"), (_common("size_x", "size_y") - _left("x", "y")).alias("need"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("need").alias("need")).filter("both >= need")
+    pairs = freeze(pairs.select("a", "b"), "near-apart")
+    discard(held, between, shared, counts, met)
     return pairs
 
 
@@ -203,11 +248,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     stands for the document's group, the one of its smallest doc_id, then row; null doc_ids stand last."""
     texts = docs.select("row", "text")
     run = _sketches(*_frequent(texts, docs.count()))
-    rows = freeze(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH), "near-rows")
+    wide = freeze(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH), "near-rows")
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    copies = freeze(rows.groupBy("digest").agg(order.alias("o"), F.count(F.lit(1)).alias("n")).select("digest", F.col("o.row").alias("lead"), F.col("o.doc_id").alias("lead_id"), "n"), "near-copies")
-    leads = freeze(copies.select(F.col("lead").alias("row")).join(rows.drop("digest"), "row"), "near-leads")
-    sizes = leads.select("row", "size")
+    copies = freeze(wide.groupBy("digest").agg(order.alias("o"), F.count(F.lit(1)).alias("n")).select("digest", F.col("o.row").alias("lead"), F.col("o.doc_id").alias("lead_id"), "n"), "near-copies")
+    leads = freeze(copies.select(F.col("lead").alias("row")).join(wide.drop("digest", "doc_id"), "row"), "near-leads")
+    rows = freeze(wide.select("row", "digest"), "near-digests")
+    discard(wide)
 
     keyed = leads.select("row", "top", F.explode("keys").alias("key"))
     firsts = freeze(keyed.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-keys")
@@ -222,10 +268,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs = freeze(pairs.unionByName(close).unionByName(same).distinct(), "near-pairs")
     discard(firsts, ordered, of_print)
 
-    links = _verified(texts, pairs, sizes)
+    links = _verified(texts, _allowed(pairs, leads))
     ties = freeze(components(links), "near-ties")
     more = _pairs_apart(leads, ties)
-    apart = _verified(texts, more, sizes)
+    apart = _verified(texts, more)
     tied = freeze(components(links.unionByName(apart)), "near-components")
     discard(pairs, links, ties, more, apart)
 
@@ -248,4 +294,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows, row = numbered(docs)
     found = near_groups(rows.select("doc_id", "text", F.col(row).alias("row")))
     kept = found.filter("row = first").select(F.col("row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*columns_of(docs))
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*columns_of(docs))
