@@ -24,13 +24,13 @@ def embedding_score(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), cosine(a, b))
 
 
-#: Exemplars that a plan may hold as literals; larger sets are joined.
+#: Exemplars that a plan may hold as literals; more are refused.
 MOST_EXEMPLARS = 2000
 
 
-def nearest(vectors: DataFrame, exemplars: list[tuple[str, list[float]]], vector: str = "embedding") -> DataFrame:
-    """Adds ``closest`` and ``score``: the exemplar of the highest cosine, the first of equals. Exemplars are what a
-    person listed; their norms are taken once, while planning, and each row is scored in place without a join."""
+def _scored(vectors: DataFrame, exemplars: list[tuple[str, list[float]]], vector: str) -> DataFrame:
+    """Adds ``closest`` and ``_top``: the exemplar of the highest cosine, the first of equals, and that cosine. Exemplars are what
+    a person listed; their norms are taken once, while planning, and each row is scored in place without a join."""
     if len(exemplars) > MOST_EXEMPLARS:
         raise ValueError(f"more than {MOST_EXEMPLARS} exemplars: search them in an index instead")
     names = F.array(*[F.lit(n) for n, _ in exemplars]) if exemplars else F.array().cast("array<string>")
@@ -38,29 +38,39 @@ def nearest(vectors: DataFrame, exemplars: list[tuple[str, list[float]]], vector
     own = F.sqrt(_dot(F.col(vector), F.col(vector)))
     out = vectors.withColumn("_norm", own)
     scores = [F.when((F.col("_norm") > 0) & (F.size(vector) == len(v)), _dot(F.col(vector), F.array(*[F.lit(float(x)) for x in v])) / (F.col("_norm") * n)).otherwise(F.lit(0.0)) if n > 0 else F.lit(0.0) for (_, v), n in zip(exemplars, norms, strict=True)]
-    out = out.withColumn("_s", F.transform(F.array(*scores), lambda x: F.round(x, 4)) if scores else F.array().cast("array<double>"))
-    out = out.withColumn("score", F.coalesce(F.array_max("_s"), F.lit(0.0)))
-    return out.withColumn("closest", F.get(names, (F.array_position("_s", F.col("score")) - 1).cast("int"))).drop("_s", "_norm")
+    out = out.withColumn("_s", F.array(*scores) if scores else F.array().cast("array<double>"))
+    out = out.withColumn("_top", F.coalesce(F.array_max("_s"), F.lit(0.0)))
+    return out.withColumn("closest", F.get(names, (F.array_position("_s", F.col("_top")) - 1).cast("int"))).drop("_s", "_norm")
+
+
+def _told(scored: DataFrame, **rules: Column) -> DataFrame:
+    """Adds the rules' columns, which read the exact cosine, and ``score``, which shows it rounded."""
+    return scored.withColumns(rules).withColumn("score", F.round("_top", 4)).drop("_top")
+
+
+def nearest(vectors: DataFrame, exemplars: list[tuple[str, list[float]]], vector: str = "embedding") -> DataFrame:
+    """Adds ``closest`` and ``score``: the exemplar of the highest cosine, the first of equals, and that cosine, rounded."""
+    return _told(_scored(vectors, exemplars, vector))
 
 
-def denied_topics(vectors: DataFrame, topics: list[tuple[str, list[float]]], threshold: float = 0.8) -> DataFrame:
-    return nearest(vectors, topics).withColumn("trips", F.col("score") >= threshold)
+def denied_topics(vectors: DataFrame, topics: list[tuple[str, list[float]]], threshold: float = 0.8, vector: str = "embedding") -> DataFrame:
+    return _told(_scored(vectors, topics, vector), trips=F.col("_top") >= threshold)
 
 
 custom_category = denied_topics
 
 
-def groundedness(vectors: DataFrame, sources: list[tuple[str, list[float]]], threshold: float = 0.75) -> DataFrame:
+def groundedness(vectors: DataFrame, sources: list[tuple[str, list[float]]], threshold: float = 0.75, vector: str = "embedding") -> DataFrame:
     """Trips where no source is close enough; without sources everything passes."""
-    return nearest(vectors, sources).withColumn("trips", (F.col("score") < threshold) & F.lit(bool(sources)))
+    return _told(_scored(vectors, sources, vector), trips=(F.col("_top") < threshold) & F.lit(bool(sources)))
 
 
-def intent(vectors: DataFrame, exemplars: list[tuple[str, list[float]]], mode: str = "deny", threshold: float = 0.75) -> DataFrame:
+def intent(vectors: DataFrame, exemplars: list[tuple[str, list[float]]], mode: str = "deny", threshold: float = 0.75, vector: str = "embedding") -> DataFrame:
     """``deny`` trips on an intent at or above the threshold, ``allow`` where none reaches it."""
     if mode not in ("deny", "allow"):
         raise ValueError("mode is deny or allow")
-    hit = F.col("score") >= threshold
-    return nearest(vectors, exemplars).withColumn("trips", hit if mode == "deny" else ~hit)
+    hit = F.col("_top") >= threshold
+    return _told(_scored(vectors, exemplars, vector), trips=hit if mode == "deny" else ~hit)
 
 
 def words(text: Column) -> Column:

@@ -24,8 +24,10 @@ ENTRY = [T.StructField("seq", T.LongType()), T.StructField("ts", T.StringType())
 
 
 def quote(text: Column) -> Column:
-    """A JSON string as the canonical encoder writes it, for texts without control characters."""
-    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A JSON string as the canonical encoder writes it."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    whole = reduce(lambda t, k: F.replace(t, F.lit(chr(k)), F.lit(json.dumps(chr(k))[1:-1])), range(32), plain)
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), whole).otherwise(plain), F.lit('"'))
 
 
 def body(seq: Column, ts: Column, kind: Column, payload: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,6 +178,11 @@ def save(prices: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """What ``save`` wrote, or any such file: rates read as strings, then exact; rows that cannot price are dropped."""
+    """What ``save`` wrote, or any such file: rates read as strings, then exact. Rows that cannot price, or in which a rate is below
+    zero or no number, are dropped; what was registered by hand may be free."""
     raw = spark.read.schema("model string, input string, output string, cached string, cache_write string, src string, asof date, registered boolean").json(path)
-    return raw.select("model", *[F.col(k).try_cast(RATE).alias(k) for k in RATES], "src", "asof", F.coalesce("registered", F.lit(False)).alias("registered"))
+    own = F.coalesce("registered", F.lit(False))
+    bad = [(F.col(k).isNotNull() & F.col(k).try_cast(RATE).isNull()) | F.coalesce(F.col(k).try_cast(RATE) < 0, F.lit(False)) for k in RATES]
+    kept = raw.filter(~reduce(lambda a, b: a | b, bad))
+    rates = kept.select("model", *[F.col(k).try_cast(RATE).alias(k) for k in RATES], "src", "asof", own.alias("registered"))
+    return rates.filter("output is not null and (input > 0 or (registered and input = 0))")

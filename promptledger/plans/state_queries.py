@@ -21,7 +21,7 @@ def topic_match(spark, sf_dir):
 
 
 def groundedness(spark, sf_dir):
-    return similarity.groundedness(table(spark, sf_dir, "embeddings"), _exemplars(spark, sf_dir)[:3], 0.3).select("vec_id", "trips")
+    return similarity.groundedness(table(spark, sf_dir, "embeddings"), _exemplars(spark, sf_dir), 0.3).select("vec_id", "trips")
 
 
 def intent_nearest(spark, sf_dir):
@@ -226,7 +226,7 @@ QUERIES = {f.__name__: f for f in (
 
 _EX = "ex AS (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label)"
 _NEAR = f"""WITH {_EX}, n AS (SELECT vec_id, max(score) AS score, CAST(arg_max(label, (score, -label)) AS VARCHAR) AS closest FROM (
-  SELECT e.vec_id, x.label, round(list_cosine_similarity(e.embedding::DOUBLE[], x.v::DOUBLE[]), 4) AS score FROM embeddings e CROSS JOIN (SELECT * FROM ex {{0}}) x) GROUP BY vec_id)"""
+  SELECT e.vec_id, x.label, list_cosine_similarity(e.embedding::DOUBLE[], x.v::DOUBLE[]) AS score FROM embeddings e CROSS JOIN ex x) GROUP BY vec_id)"""
 _LINES = r"""l AS (SELECT doc_id, unnest(CASE WHEN text = '' THEN [] WHEN a[-1] = '' THEN a[:-2] ELSE a END) AS line, unnest(range(CASE WHEN text = '' THEN 0 WHEN a[-1] = '' THEN len(a) - 1 ELSE len(a) END)) AS pos
   FROM (SELECT doc_id, text, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]') AS a FROM documents)),
 p AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b', '<ts>', 'g'),
@@ -241,13 +241,15 @@ _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9'']+'))"
 _TYPE = "coalesce(map {'click': 'llm_call', 'view': 'decision', 'purchase': 'policy_flag', 'signup': 'human_oversight'}[event_type], 'tool_call')"
 
 ORACLES = {
-    "topic_match": _NEAR.format("") + " SELECT vec_id, closest, score, score >= 0.3 AS trips FROM n",
-    "groundedness": _NEAR.format("ORDER BY label LIMIT 3") + " SELECT vec_id, score < 0.3 AS trips FROM n",
-    "intent_nearest": _NEAR.format("") + " SELECT closest, count(*) FILTER (score < 0.3) AS tripped, count(*) AS n FROM n GROUP BY closest",
+    "topic_match": _NEAR + " SELECT vec_id, closest, round(score, 4) AS score, score >= 0.3 AS trips FROM n",
+    "groundedness": _NEAR + " SELECT vec_id, score < 0.3 AS trips FROM n",
+    "intent_nearest": _NEAR + " SELECT closest, count(*) FILTER (score < 0.3) AS tripped, count(*) AS n FROM n GROUP BY closest",
     "lexical_containment": f"""WITH j AS (SELECT a.conv_id, a.turn, {_WORDS.format('a.text')} AS w, {_WORDS.format('b.text')} AS e FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn + 1 = a.turn AND b.role = 'user' WHERE a.role = 'assistant')
         SELECT conv_id, turn, round(CASE WHEN len(e) = 0 THEN 1.0 ELSE len(list_intersect(e, w)) / len(e)::DOUBLE END, 6) AS containment FROM j""",
     "log_dedup": f"WITH {_LINES} SELECT doc_id, md5(pattern) AS pattern_md5, n, first FROM g",
     "log_compress": f"WITH {_LINES} SELECT doc_id, md5(string_agg(CASE WHEN n > 1 THEN pattern || ' (×' || n || ')' ELSE pattern END, chr(10) ORDER BY first)) AS small_md5, count(*) AS patterns FROM g GROUP BY doc_id",
+    "framework_controls": "SELECT * FROM (VALUES " + ", ".join(
+        "('" + "', '".join((f, t)) + f"', {i}, '{c}')" for f, types in audit.CONTROLS.items() for t, cs in types.items() for i, c in enumerate(cs)) + ") AS v(framework, type, place, control)",
     "cas_store": "SELECT sha256(text) AS key, length(any_value(text)) AS n FROM documents GROUP BY 1",
     "cas_expand": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "compress_props": "SELECT event_id, json(props)::VARCHAR AS small FROM events",

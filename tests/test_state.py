@@ -287,3 +287,44 @@ def test_lexical_score_takes_every_turn_after_the_first(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): r.score for r in state_queries.lexical_score(spark, str(tmp_path)).collect()}
     assert sorted(got) == [(1, 1), (1, 2), (1, 3), (1, 4)] and got[1, 4] == 1.0 and got[1, 2] == 0.666667
+
+
+def test_thresholds_read_exact_scores(spark):
+    from promptledger.functions import similarity
+
+    vectors = spark.createDataFrame([([0.79996, 0.60005333],), ([0.8, 0.6],)], "embedding array<double>")
+    got = similarity.denied_topics(vectors, [("a", [1.0, 0.0]), ("b", [0.99999999, 0.0001])], 0.80005).collect()
+    assert [(r.score, r.trips) for r in got] == [(0.8, False), (0.8001, True)] and got[1].closest == "b"
+    assert not similarity.denied_topics(vectors.limit(1), [("a", [1.0, 0.0])], 0.8).first().trips
+
+
+def test_control_characters_are_quoted_as_the_encoder_does(spark):
+    import json
+
+    from promptledger.operators import audit
+
+    texts = ["plain", 'a"b\\c', "".join(map(chr, range(32))) + "é ", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(audit.quote(rows["t"])).collect()] == [json.dumps(t, ensure_ascii=False) for t in texts]
+
+
+def test_json_units_and_nulls():
+    from promptledger.functions import compress
+
+    def peeled(x):
+        steps = []
+        while compress._peel(x):
+            steps.append(compress._dumps(x))
+        return steps
+
+    assert peeled({"a": [1, 2], "b": "long text"}) == ['{"a":[1,2]}', '{"a":[1]}', '{"a":[]}', "{}"]
+    assert peeled([[[]]]) == ["[[]]", "[]"] and peeled("text") == []
+    assert compress.compress_json('{"a": null, "b": [{"c": null}, null], "a": 2, "b2": 1, "b2": null}') == ('{"a":2,"b":[{},null]}', "minify+dropnulls")
+
+
+def test_loaded_prices_can_price(spark, tmp_path):
+    from promptledger.operators import prices
+
+    rows = [("ok", "0.1", "0.2", None, False), ("free", "0", "0", None, True), ("zero", "0", "0.1", None, False), ("below", "0.1", "-1", None, True), ("none", "0.1", None, None, False), ("odd", "0.1", "0.1", "x", False)]
+    spark.createDataFrame(rows, "model string, input string, output string, cached string, registered boolean").write.json(f"{tmp_path}/p")
+    assert sorted(r.model for r in prices.load(spark, f"{tmp_path}/p").collect()) == ["free", "ok"]
