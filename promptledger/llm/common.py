@@ -48,7 +48,7 @@ def freeze(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path, partitionBy=by)
+        df.write.parquet(path, partitionBy=by, compression="zstd")
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     read = spark.read.schema(df.schema).parquet(path)
