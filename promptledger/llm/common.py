@@ -40,7 +40,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def freeze(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def freeze(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one evaluation, no lineage, safe from lost executors, and no
     shuffle files left. With ``by`` (a column of few values) the table lies in a folder for each value, and a filter on it
     reads those alone."""
@@ -48,7 +48,7 @@ def freeze(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path, partitionBy=by, compression="zstd")
+        df.write.parquet(path, partitionBy=by, compression=codec)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     read = spark.read.schema(df.schema).parquet(path)

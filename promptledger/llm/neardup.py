@@ -162,8 +162,8 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_has(sent.value, b.column(0).to_numpy())))
 
-    marked = texts.select("row", "text").mapInArrow(some, "row long, text string")
-    sets = freeze(marked.join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "near-sets")
+    marked = texts.select("row", "text").mapInArrow(some, "row long, text string")  # shuffled, so that a task runs one of the two at a time
+    sets = freeze(marked.join(wanted.hint("merge"), "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
     links = freeze(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "near-links")
     discard(pairs, wanted, sets)
