@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +43,43 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Settings that keep an Arrow batch to a few megabytes, whatever its rows hold.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]):
+    """The session with these settings, as long as the block runs."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def trimmed(run):
+    """``run`` over a task's batches; when they are read, its worker returns what memory it no longer uses."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's own
+        if trim:
+            trim(0)
+
+    return inner
+
+
 def freeze(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one evaluation, no lineage, safe from lost executors, and no
     shuffle files left. With ``by`` (a column of few values) the table lies in a folder for each value, and a filter on it
     reads those alone."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with configured(spark, {CLEANUP: "true"}):
         df.write.parquet(path, partitionBy=by, compression=codec)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     read = spark.read.schema(df.schema).parquet(path)
     read.frozen_at = path
     return read

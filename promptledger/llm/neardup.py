@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, freeze, lookup, numbered
+from .common import SMALL_BATCHES, columns_of, configured, discard, freeze, lookup, numbered, trimmed
 from .simhash import components, fingerprint, shingle_hashes, trie_edges, words
 
 SHINGLE, SIMILARITY, DISTANCE, LEAST = 5, 0.8, 4, 6
@@ -110,7 +110,7 @@ def _verify(batches):
 
 def _frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of more than one document in a sample of bounded size, sorted, and their counts there."""
-    some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, rows // COUNTED))) == 0).mapInArrow(_sets, "row long, set array<long>")
+    some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, rows // COUNTED))) == 0).mapInArrow(trimmed(_sets), "row long, set array<long>")
     counts = some.select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     top = sorted((r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
     return np.array([h for h, _ in top], np.int64), np.array([n for _, n in top], np.int64)
@@ -162,11 +162,12 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_has(sent.value, b.column(0).to_numpy())))
 
-    marked = texts.select("row", "text").mapInArrow(some, "row long, text string")  # shuffled, so that a task runs one of the two at a time
-    sets = freeze(marked.join(wanted.hint("merge"), "row", "left_semi").mapInArrow(_sets, "row long, set array<long>"), "near-sets")
+    marked = texts.select("row", "text").mapInArrow(trimmed(some), "row long, text string")  # shuffled, so that a task runs one of the two at a time
+    sets = freeze(marked.join(wanted.hint("merge"), "row", "left_semi").mapInArrow(trimmed(_sets), "row long, set array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    links = freeze(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "near-links")
+    links = freeze(both.select("a", "b", "x", "y").mapInArrow(trimmed(_verify), "a long, b long"), "near-links")
     discard(pairs, wanted, sets)
+    sent.destroy()
     return links
 
 
@@ -188,8 +189,9 @@ def _pairs_apart(leads: DataFrame, tied: DataFrame) -> DataFrame:
             rest = [c.take(pa.array(owner)) for c in b.columns[:-1]]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(size[owner], pa.int64()), flat.take(pa.array(on))], names=["row", "size", "end_n", "end_h", "root", "long", "key"])
 
-    shared = held.select("row", "size", "end_n", "end_h", "root", "prefix").mapInArrow(some, "row long, size long, end_n long, end_h long, root long, long long, key long")
+    shared = held.select("row", "size", "end_n", "end_h", "root", "prefix").mapInArrow(trimmed(some), "row long, size long, end_n long, end_h long, root long, long long, key long")
     shared = freeze(shared.join(between, "key", "left_semi"), "near-shared")
+    sent.destroy()
     counts = freeze(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-counts")
     met = lookup(shared, counts, "key", "n")
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -231,7 +233,7 @@ def _neighbours(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, top, row, first) -> (row, other): each row with its key's first and with the one before it by (top, row); and
     the table that this reads."""
     ordered = met.select("key", "top", "row", "first").repartitionByRange("key", "top", "row").sortWithinPartitions("key", "top", "row")
-    ordered = freeze(ordered.mapInArrow(_lags, "key long, top long, row long, first long, last long, head boolean, tail boolean"), "near-order")
+    ordered = freeze(ordered.mapInArrow(trimmed(_lags), "key long, top long, row long, first long, last long, head boolean, tail boolean"), "near-order")
     ends = ordered.filter("head or tail").select("key", "top", "row", "tail").collect()  # two a partition
     across, end = [], None
     for r in sorted(ends):
@@ -248,7 +250,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     stands for the document's group, the one of its smallest doc_id, then row; null doc_ids stand last."""
     texts = docs.select("row", "text")
     run = _sketches(*_frequent(texts, docs.count()))
-    wide = freeze(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH), "near-rows")
+    wide = freeze(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), SKETCH), "near-rows")
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     copies = freeze(wide.groupBy("digest").agg(order.alias("o"), F.count(F.lit(1)).alias("n")).select("digest", F.col("o.row").alias("lead"), F.col("o.doc_id").alias("lead_id"), "n"), "near-copies")
     leads = freeze(copies.select(F.col("lead").alias("row")).join(wide.drop("digest", "doc_id"), "row"), "near-leads")
@@ -292,6 +294,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     pass through, whatever their names.
     """
     rows, row = numbered(docs)
-    found = near_groups(rows.select("doc_id", "text", F.col(row).alias("row")))
+    with configured(docs.sparkSession, SMALL_BATCHES):
+        found = near_groups(rows.select("doc_id", "text", F.col(row).alias("row")))
     kept = found.filter("row = first").select(F.col("row").alias(row))
     return rows.join(kept.hint("merge"), row, "left_semi").select(*columns_of(docs))

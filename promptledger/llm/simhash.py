@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, freeze, lookup
+from .common import discard, documents, freeze, lookup, trimmed
 from .trie import self_join
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             fp = [fingerprint(shingle_hashes(words(t.as_py()), width)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def blocks(bits: int, count: int) -> list[tuple[int, int]]:
@@ -113,7 +113,7 @@ def trie_edges(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if left:
             yield from _joined(pa.Table.from_batches(left), distance)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _gather(column, bits: list[int]):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, unused
+from .common import documents, trimmed, unused
 
 WINDOW, BLOCK, HIDDEN = 24, 64, 8
 STARTS = BLOCK - WINDOW + 1  # windows that begin in a block, and the words from one block to the next
@@ -425,7 +425,7 @@ def _with_scores(docs: DataFrame, model: Model, text: str, name: str) -> DataFra
             value = net.score(np.concatenate(out)) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
