@@ -139,17 +139,19 @@ def request_hash(spark, sf_dir):
     return rows.select("conv_id", "turn", hashing.request_hash(F.col("request")).alias("request_hash"))
 
 
-def _recorded(spark, sf_dir):
-    return _requests(spark, sf_dir).filter("conv_id % 2 = 0")
+def _live(spark, sf_dir):
+    """The requests of a run after the one recorded: a tenth of them ask differently, so those miss."""
+    altered = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(10)) == 0
+    return _requests(spark, sf_dir).withColumn("request_hash", F.when(altered, F.sha2(F.concat("request_hash", F.lit("|altered")), 256)).otherwise(F.col("request_hash")))
 
 
 def replay_fifo(spark, sf_dir):
-    out = replay.replay(_requests(spark, sf_dir), _recorded(spark, sf_dir), ["conv_id", "turn"], ["conv_id", "turn"])
+    out = replay.replay(_live(spark, sf_dir), _requests(spark, sf_dir), ["conv_id", "turn"], ["conv_id", "turn"])
     return out.select("conv_id", "turn", "ordinal", "replayed", "hit")
 
 
 def drift(spark, sf_dir):
-    return replay.drift(_requests(spark, sf_dir), _recorded(spark, sf_dir), ["conv_id", "turn"], ["conv_id", "turn"]).select("conv_id", "turn", "response", "replayed")
+    return replay.drift(_live(spark, sf_dir), _requests(spark, sf_dir), ["conv_id", "turn"], ["conv_id", "turn"]).select("conv_id", "turn", "response", "replayed")
 
 
 def semantic_drift(spark, sf_dir):
@@ -233,8 +235,9 @@ p AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(regexp_re
   '\b[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\b', '<uuid>', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '<ip>', 'g'), '\b0x[0-9a-fA-F]+\b|\b[0-9a-fA-F]{8,}\b', '<hex>', 'g'), '\b\d+\b', '<n>', 'g') AS pattern FROM l),
 g AS (SELECT doc_id, pattern, count(*) AS n, min(pos)::INT AS first FROM p GROUP BY doc_id, pattern)"""
 _REQ = "q AS (SELECT conv_id, turn, sha256(role || '|' || length(text)) AS request_hash, md5(text) AS response FROM conversations)"
-_FIFO = f"""WITH {_REQ}, a AS (SELECT *, row_number() OVER (PARTITION BY request_hash ORDER BY conv_id, turn) AS ordinal FROM q),
-  b AS (SELECT request_hash, response AS replayed, row_number() OVER (PARTITION BY request_hash ORDER BY conv_id, turn) AS ordinal FROM q WHERE conv_id % 2 = 0),
+_FIFO = f"""WITH {_REQ}, live AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 10 = 0 THEN sha256(request_hash || '|altered') ELSE request_hash END AS request_hash, response FROM q),
+  a AS (SELECT *, row_number() OVER (PARTITION BY request_hash ORDER BY conv_id, turn) AS ordinal FROM live),
+  b AS (SELECT request_hash, response AS replayed, row_number() OVER (PARTITION BY request_hash ORDER BY conv_id, turn) AS ordinal FROM q),
   j AS (SELECT a.*, b.replayed, b.request_hash IS NOT NULL AS hit FROM a LEFT JOIN b USING (request_hash, ordinal))"""
 _PRIORITY = "b AS (SELECT conv_id, turn AS idx, role, CASE role WHEN 'system' THEN 9 WHEN 'user' THEN 5 ELSE turn % 4 END AS priority, role = 'system' AS pin, text FROM conversations)"
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9'']+'))"
