@@ -196,7 +196,8 @@ def chain_tamper(spark, sf_dir):
     kind = F.col("chain_id") % 4
     last = expected.select("chain_id", F.col("n"))
     hurt = entries.join(last, "chain_id").filter(~((kind == 1) & (F.col("seq") == 3)) & ~((kind == 2) & (F.col("seq") == F.col("n") - 1))).drop("n")
-    hurt = hurt.withColumn("payload", F.when((kind == 0) & (F.col("seq") == 2), F.lit('{"k":0}')).otherwise(F.col("payload"))).withColumn("line_no", F.col("seq"))
+    edited = F.when(F.col("payload") == '{"k":0}', F.lit('{"k":1}')).otherwise(F.lit('{"k":0}'))  # never what stood there
+    hurt = hurt.withColumn("payload", F.when((kind == 0) & (F.col("seq") == 2), edited).otherwise(F.col("payload"))).withColumn("line_no", F.col("seq"))
     return audit.verify(hurt, expected=expected).select("chain_id", "ok", "detail")
 
 

@@ -328,3 +328,13 @@ def test_loaded_prices_can_price(spark, tmp_path):
     rows = [("ok", "0.1", "0.2", None, False), ("free", "0", "0", None, True), ("zero", "0", "0.1", None, False), ("below", "0.1", "-1", None, True), ("none", "0.1", None, None, False), ("odd", "0.1", "0.1", "x", False)]
     spark.createDataFrame(rows, "model string, input string, output string, cached string, registered boolean").write.json(f"{tmp_path}/p")
     assert sorted(r.model for r in prices.load(spark, f"{tmp_path}/p").collect()) == ["free", "ok"]
+
+
+def test_an_edited_payload_differs_from_what_stood_there(spark, tmp_path):
+    from promptledger.plans import state_queries
+
+    at = lambda s: datetime(2026, 1, 1) + timedelta(seconds=s)
+    rows = [(10 * c + s, at(s), c, "view", 1.0, json.dumps({"k": k})) for c, k in ((0, 0), (4, 1), (8, 7)) for s in range(4)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.chain_id: (r.ok, r.detail) for r in state_queries.chain_tamper(spark, str(tmp_path)).collect()}
+    assert got == {c: (False, "tampered entry at seq 2") for c in (0, 4, 8)}
