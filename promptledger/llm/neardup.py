@@ -15,6 +15,10 @@ rare ones first, two sets of similarity s or more share one of the first n - cei
 of different groups that meet under such a shingle are compared, all pairs of them that size and position allow; a
 shingle of many documents is dealt in blocks, and each pair of blocks is a join key of its own.
 
+Of each set a bitmap holds, for every value of a hash, whether an odd number of shingles has it. Two bitmaps differ in no
+more bits than the sets in shingles, so the join itself leaves out pairs whose bitmaps differ in more bits than similar sets
+can; what shares a passage and little else makes no rows there. (Bitmaps of sets far larger than they are wide rule out less.)
+
 A pair is worth its sets only if its prefixes allow it: of the two, the one that ends first in the order holds all that both
 share up to there, so no more than the shingles common to the prefixes and what follows that one can be common.
 
@@ -24,13 +28,14 @@ fixed size marks as wanted, shuffles these alone, and drops what the bitmap mark
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_BATCHES, columns_of, configured, discard, freeze, lookup, numbered, trimmed
@@ -39,7 +44,10 @@ from .simhash import components, fingerprint, shingle_hashes, trie_edges, words
 SHINGLE, SIMILARITY, DISTANCE, LEAST = 5, 0.8, 4, 6
 
 #: Documents of a shingle that are compared under one join key, on average, with as many others.
-BLOCK = 128
+BLOCK = 512
+
+#: Long integers in a set's bitmap.
+PARITY = 8
 
 #: Documents whose shingles are counted to tell frequent ones, and how many of those are sent out. Any order of the
 #: shingles gives the same pairs; this one keeps passages of many documents out of the prefixes.
@@ -49,11 +57,20 @@ COUNTED, FREQUENT = 20_000, 100_000
 BITMAP = 1 << 26
 
 
+#: Columns of a set's bitmap.
+ODD = [f"odd{k}" for k in range(PARITY)]
+
+
+def _parity(h: np.ndarray) -> np.ndarray:
+    """For each value of a hash of PARITY * 64 values, a bit: whether an odd number of the shingles has it."""
+    odd = np.bincount(h & (PARITY * 64 - 1), minlength=PARITY * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(often: np.ndarray, count: np.ndarray):
     """(row, doc_id, text) -> what stands for a text; ``often``: frequent shingles, sorted, and their counts."""
 
     def prefix(h):
-        h = np.unique(h >> np.uint64(1)).astype(np.int64)
         if len(often):
             at = np.minimum(np.searchsorted(often, h), len(often) - 1)
             h = h[np.lexsort((h, np.where(often[at] == h, count[at], 0)))]
@@ -65,7 +82,7 @@ def _sketches(often: np.ndarray, count: np.ndarray):
 
     def run(batches):
         for b in batches:
-            fp, digest, keys, top, found = [], [], [], [], []
+            fp, digest, keys, top, found, odd = [], [], [], [], [], []
             for t in b.column(2):
                 w = words(t.as_py())
                 h = shingle_hashes(w, SHINGLE)
@@ -75,17 +92,21 @@ def _sketches(often: np.ndarray, count: np.ndarray):
                 top.append(int(h.max()) - (1 << 63) if len(h) else 0)
                 digest.append(xxhash.xxh3_128_digest(b" ".join(w)))
                 keys.append([xxhash.xxh64_intdigest(b"%d %d" % p) - (1 << 63) for p in pairs])
-                found.append(prefix(h))
+                whole = np.unique(h >> np.uint64(1)).astype(np.int64)
+                found.append(prefix(whole))
+                odd.append(_parity(whole))
             size, first, end_n, end_h = zip(*found, strict=True) if found else ((),) * 4
             longs = pa.list_(pa.int64())
+            bits = np.array(odd, np.int64).reshape(-1, PARITY)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(top, pa.int64()), pa.array(size, pa.int64()), pa.array(first, longs), pa.array(end_n, pa.int64()), pa.array(end_h, pa.int64())],
-                names=["row", "doc_id", "fp", "digest", "keys", "top", "size", "prefix", "end_n", "end_h"])
+                [b.column(0), b.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(keys, longs), pa.array(top, pa.int64()), pa.array(size, pa.int64()), pa.array(first, longs), pa.array(end_n, pa.int64()), pa.array(end_h, pa.int64()), *map(pa.array, bits.T.copy())],
+                names=["row", "doc_id", "fp", "digest", "keys", "top", "size", "prefix", "end_n", "end_h", *ODD])
 
     return run
 
 
 SKETCH = "row long, doc_id long, fp long, digest binary, keys array<long>, top long, size long, prefix array<long>, end_n long, end_h long"  # end: the prefix's last, as the order has it
+SKETCH += "".join(f", {c} long" for c in ODD)
 
 
 def _set(text):
@@ -142,6 +163,11 @@ def _left(a: str, b: str):
     return F.when(first, F.col(f"size_{a}") - F.col(f"long_{a}")).otherwise(F.col(f"size_{b}") - F.col(f"long_{b}"))
 
 
+def _differing(a: str, b: str):
+    """In how many bits two bitmaps differ: no more than the sets in shingles."""
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in ODD])
+
+
 def _allowed(pairs: DataFrame, leads: DataFrame) -> DataFrame:
     """The pairs (a, b) of rows that sizes and prefixes allow."""
     x, y = (leads.select(F.col("row").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("size", "end_n", "end_h", "prefix")], F.size("prefix").alias(f"long_{k}")) for k in "ab")
@@ -171,9 +197,23 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return links
 
 
+#: Columns of a row that meets others under a shingle.
+MET = ("own", "row", "size", "root", "long", "end_n", "end_h", *ODD)
+
+
+def _meeting(met: DataFrame) -> DataFrame:
+    """The pairs (columns by _x and _y) of rows of different groups that meet in a block of a shingle and may be similar by
+    their sizes and bitmaps."""
+    x, y = (met.select("key", "i", "j", *[F.col(c).alias(f"{c}_{s}") for c in MET]) for s in "xy")
+    least = F.lit(SIMILARITY - 1e-9)
+    pairs = x.join(y, ["key", "i", "j"]).filter("own_x = i and own_y = j and root_x <> root_y and (i < j or row_x < row_y)")
+    pairs = pairs.filter(_differing("x", "y") <= F.col("size_x") + F.col("size_y") - 2 * _common("size_x", "size_y") + 1e-6)
+    return pairs.filter((F.col("size_x") >= least * F.col("size_y")) & (F.col("size_y") >= least * F.col("size_x")))
+
+
 def _pairs_apart(leads: DataFrame, tied: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows in different groups of ``tied`` (node, root), among them all that are similar enough."""
-    held = leads.select("row", "size", "end_n", "end_h", "prefix").join(tied.withColumnRenamed("node", "row"), "row", "left")
+    held = leads.select("row", "size", "end_n", "end_h", *ODD, "prefix").join(tied.withColumnRenamed("node", "row"), "row", "left")
     held = freeze(held.withColumn("root", F.coalesce("root", "row")), "near-prefixes")
     between = held.select("root", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
     between = freeze(between.select("key"), "near-between")
@@ -187,21 +227,18 @@ def _pairs_apart(leads: DataFrame, tied: DataFrame) -> DataFrame:
             size = pa.compute.list_value_length(lists).to_numpy()
             owner = np.repeat(np.arange(b.num_rows), size)[on]
             rest = [c.take(pa.array(owner)) for c in b.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(size[owner], pa.int64()), flat.take(pa.array(on))], names=["row", "size", "end_n", "end_h", "root", "long", "key"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(size[owner], pa.int64()), flat.take(pa.array(on))], names=["row", "size", "end_n", "end_h", *ODD, "root", "long", "key"])
 
-    shared = held.select("row", "size", "end_n", "end_h", "root", "prefix").mapInArrow(trimmed(some), "row long, size long, end_n long, end_h long, root long, long long, key long")
+    bits = "".join(f"{c} long, " for c in ODD)
+    shared = held.select("row", "size", "end_n", "end_h", *ODD, "root", "prefix").mapInArrow(trimmed(some), f"row long, size long, end_n long, end_h long, {bits}root long, long long, key long")
     shared = freeze(shared.join(between, "key", "left_semi"), "near-shared")
     sent.destroy()
     counts = freeze(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-counts")
     met = lookup(shared, counts, "key", "n")
     blocks = F.ceil(F.col("n") / BLOCK)
     met = met.withColumn("own", F.pmod(F.xxhash64("row"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    kept = ("own", "row", "size", "root", "long", "end_n", "end_h")
-    met = freeze(met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *kept), "near-blocks")
-    x, y = (met.select("key", "i", "j", *[F.col(c).alias(f"{c}_{s}") for c in kept]) for s in "xy")
-    least = F.lit(SIMILARITY - 1e-9)
-    pairs = x.join(y, ["key", "i", "j"]).filter("own_x = i and own_y = j and root_x <> root_y and (i < j or row_x < row_y)")
-    pairs = pairs.filter((F.col("size_x") >= least * F.col("size_y")) & (F.col("size_y") >= least * F.col("size_x")))
+    met = freeze(met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *MET), "near-blocks")
+    pairs = _meeting(met)
     pairs = pairs.select(F.least("row_x", "row_y").alias("a"), F.greatest("row_x", "row_y").alias("b"), (_common("size_x", "size_y") - _left("x", "y")).alias("need"))
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("need").alias("need")).filter("both >= need")
     pairs = freeze(pairs.select("a", "b"), "near-apart")

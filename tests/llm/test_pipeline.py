@@ -150,3 +150,24 @@ def test_stages_and_their_order(spark, sf):
             assert max(sizes) - min(sizes) <= 1
         before = after
     assert before.count() > 0
+
+
+def test_texts_that_share_a_passage_and_are_not_similar_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, meeting, made = draw(60), neardup._meeting, []
+    rows = [(i, " ".join([*draw(8), *passage, *draw(4)])) for i in range(400)]
+    assert 0.6 < jaccard(rows[0][1], rows[1][1]) < 0.8
+    monkeypatch.setattr(neardup, "_meeting", lambda met: made.append(meeting(met).count()) or meeting(met))
+    assert neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 400
+    assert made[0] < 1000  # of some 80,000 pairs, most of them under more than one shingle
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = neardup.np.random.default_rng(3)
+    for n in (0, 1, 5, 100, 600, 5000):
+        x = neardup.np.unique(rng.integers(0, 1 << 62, n))
+        y = neardup.np.unique(neardup.np.append(x[: n - n // 9], rng.integers(0, 1 << 62, n // 9)))
+        bits = sum(int(a).bit_count() for a in (neardup._parity(x) ^ neardup._parity(y)).view("uint64"))
+        assert bits <= len(neardup.np.setxor1d(x, y)) and len(neardup._parity(x)) == neardup.PARITY
