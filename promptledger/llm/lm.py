@@ -6,11 +6,12 @@ before last, the one before that). Inside a class a second softmax, by the word
 ``SLOTS - 1`` most frequent words and the rest, which share by count. Words beyond the ``HEAD`` most frequent ones form one
 class of their own, in which words seen twice or more share by count and words seen once stand in for unseen ones.
 
-Frequent words are clustered into classes by the words that they stand between (counts of hashed neighbours, over the whole
-corpus, from each run of words in which they are frequent); other head words join the class whose words they are spelled like.
+Frequent words are clustered into classes by the words that they stand between (counts of hashed neighbours at each of their
+places in the training texts); other head words join the class whose words they are spelled like.
 
 Counting covers every training token: each task counts its own and a shuffle adds them up. Then every text is written once as
-its words' codes, in folders by slice, and training and scoring read those. Training goes in rounds over disjoint slices of all training documents: at most ``TRAINERS`` tasks take sparse gradient steps from the round's weights, and
+its words' codes, in folders by slice, and training and scoring read those. The same pass counts neighbours, since only
+then it is known which words are the frequent ones. Training goes in rounds over disjoint slices of all training documents: at most ``TRAINERS`` tasks take sparse gradient steps from the round's weights, and
 their changes are averaged, block by block, in streaming sums. Scoring runs in sparse numpy batches. Words beyond the head are too
 many to send to every task, so their counts come by a join, summed per document; by their rank none of them is frequent.
 """
@@ -33,7 +34,8 @@ SLOTS, KNOWN, CONTEXTS, BEFORE = 32, 16_384, 4096, 223  # words of a class; word
 FOLDS, HELD_OUT = 7, 2
 TAIL, BUCKETS, NEIGHBOURS = CLASSES - 1, 256, 32
 TOKENS_A_BATCH, TOKENS_A_STEP, BLOCKS, TRAINERS = 100_000, 40_000, 64, 4096
-DISTINCT_A_RUN, SEEN_A_RUN = 300_000, 32  # distinct words that a task counts at once; a word's count in those from which its neighbours count
+DISTINCT_A_RUN, SEEN_A_RUN = 300_000, 32  # distinct words that a task counts at once; see _counted
+USES, PLACES_A_RUN = -2, 1 << 20  # the slice that holds counts of neighbours; places whose neighbours are counted at once
 END = b""  # the end token: no word is empty
 
 
@@ -45,10 +47,13 @@ def fold(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def _counted(words: list[bytes], ids: np.ndarray) -> pa.RecordBatch:
-    """A run of tokens, as positions among its distinct words -> (word, c, use): ``use`` holds for frequent words how often
-    which hashed words stand before and behind them."""
+def _counted(words: list[bytes], ids: np.ndarray, uses: bool = True) -> pa.RecordBatch:
+    """A run of tokens, as positions among its distinct words -> (word, c), and with ``uses`` a view of the run by itself,
+    (word, c, use): ``use`` holds for the words seen SEEN_A_RUN times in it how often which hashed words stand before and
+    behind them. The model takes no uses from here: ``encoded`` counts those of its words at every place."""
     c = np.bincount(ids, minlength=len(words))
+    if not uses:
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c)], names=["word", "c"])
     often = np.flatnonzero(c >= SEEN_A_RUN)
     place = np.full(len(words), -1)
     place[often] = np.arange(len(often))
@@ -67,8 +72,8 @@ def _counted(words: list[bytes], ids: np.ndarray) -> pa.RecordBatch:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(word, c, use) over the whole texts of ``docs``, the end token included: a word's counts lie in several rows, one of
-    each run of tokens that holds it."""
+    """(word, c) over the whole texts of ``docs``, the end token included: a word's counts lie in several rows, one of each
+    run of tokens that holds it."""
 
     def run(batches):
         seen: dict[bytes, int] = {}
@@ -78,12 +83,12 @@ def counted(docs: DataFrame) -> DataFrame:
                 w = tokens(t.as_py())
                 held.append(np.fromiter((seen.setdefault(x, len(seen)) for x in w), np.int32, len(w)))
                 if len(seen) > DISTINCT_A_RUN:
-                    yield _counted(list(seen), np.concatenate(held))
+                    yield _counted(list(seen), np.concatenate(held), uses=False)
                     seen, held = {}, []
         if held:
-            yield _counted(list(seen), np.concatenate(held))
+            yield _counted(list(seen), np.concatenate(held), uses=False)
 
-    return docs.select("text").mapInArrow(run, "word binary, c long, use array<long>")
+    return docs.select("text").mapInArrow(run, "word binary, c long")
 
 
 def spelling(words: list[bytes], width: int = 64) -> np.ndarray:
@@ -289,35 +294,82 @@ def _codes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int32)
 
 
-def encoded(docs: DataFrame, model: Model, slices) -> DataFrame:
+def _buckets(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(NEIGHBOURS)
+
+
+def encoded(docs: DataFrame, head: list[bytes], slices) -> DataFrame:
     """``docs`` (doc_id, text) tokenised once: a table (doc_id, n_tokens, codes, rare: the words that have no code of their
-    own, as often as they occur, row) in folders by ``slices``, so that a round of training reads its own slice alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
+    own, as often as they occur, row) in folders by ``slices``, so that a round of training reads its own slice alone.
+    ``head``: the words that have codes. The slice USES holds, a row for each task and block (as doc_id) of the first KNOWN
+    of them, how often which hashed words stand before and behind them in the texts of slices from 0 on."""
+    sent = docs.sparkSession.sparkContext.broadcast({"rank": {w: i for i, w in enumerate(head)}})
+    n, known, wide = len(head), min(KNOWN, len(head)), 2 * NEIGHBOURS
+    hashed = docs.sparkSession.sparkContext.broadcast(np.append(_buckets(head), np.uint32(0)))
 
     def run(batches):
-        own = _model(sent.value)
-        n = len(own.rank)
+        own, end = _model(sent.value), zlib.crc32(END) % NEIGHBOURS
+        use, cells, held = np.zeros(known * wide, np.int64), [], 0
         for b in batches:
             size, codes, rare, many = [], [], [], []
+            learnt, done = b.column(2).to_numpy() >= 0, 0
             for part in _batches_of(b.column(1), tokens):
                 sizes = np.fromiter(map(len, part), np.int64, len(part))
                 flat = [w for d in part for w in d]
                 all_codes = own.codes(flat)
                 at = np.flatnonzero(all_codes >= n)
-                end = np.cumsum(sizes)
-                many.append(np.bincount(np.searchsorted(end, at, side="right"), minlength=len(part)))
-                rare += [flat[i] for i in at.tolist()]
-                codes += [c.tobytes() for c in np.split(all_codes, end[:-1])]
+                ends = np.cumsum(sizes)
+                many.append(np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(part)))
+                others = [flat[i] for i in at.tolist()]
+                rare += others
+                codes += [c.tobytes() for c in np.split(all_codes, ends[:-1])]
                 size.append(sizes)
+                bucket = hashed.value[np.minimum(all_codes, n)]
+                bucket[at] = _buckets(others)
+                before, behind = np.append(np.uint32(end), bucket[:-1]), np.append(bucket[1:], np.uint32(end))
+                behind[ends - 1] = end  # nothing stands behind a text's end, and another text's end before its first word
+                places = np.flatnonzero((all_codes < known) & np.repeat(learnt[done:done + len(part)], sizes))
+                first = all_codes[places] * wide
+                cells += [first + before[places], first + NEIGHBOURS + behind[places]]
+                done, held = done + len(part), held + len(places)
+                if held >= PLACES_A_RUN:
+                    use += np.bincount(np.concatenate(cells), minlength=len(use))
+                    cells, held = [], 0
             if size:
                 cuts = np.append(0, np.cumsum(np.concatenate(many))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(rare, pa.binary()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(size)), pa.array(codes, pa.binary()), lists, b.column(2)], names=["doc_id", "n_tokens", "codes", "rare", "slice"])
+        if held:
+            use += np.bincount(np.concatenate(cells), minlength=len(use))
+        for k in range(BLOCKS if use.any() else 0):
+            own_block = use[known * k // BLOCKS * wide:known * (k + 1) // BLOCKS * wide]
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([0]), pa.array([own_block.tobytes()], pa.binary()), pa.array([[]], pa.list_(pa.binary())), pa.array([USES], b.column(2).type)], names=["doc_id", "n_tokens", "codes", "rare", "slice"])
 
     rows = docs.select("doc_id", "text", slices.cast("int").alias("slice")).mapInArrow(run, "doc_id long, n_tokens long, codes binary, rare array<binary>, slice int")
     return freeze(rows.withColumn("row", F.monotonically_increasing_id()), "lm-codes", by="slice", codec="zstd")
 
 
+def uses(codes: DataFrame, known: int) -> np.ndarray:
+    """The counts of neighbours in ``codes`` (``encoded``), summed by block in streams: (one of the ``known`` words, hashed word before
+    or behind)."""
+    wide = 2 * NEIGHBOURS
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part = np.frombuffer(part, np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.tobytes()], pa.binary())], names=["block", "use"])
+
+    parts = codes.filter(F.col("slice") == USES).select(F.col("doc_id").alias("block"), "codes")
+    out = np.zeros(known * wide, np.int64)
+    for r in parts.repartition(BLOCKS, "block").mapInArrow(add, "block long, use binary").collect():  # KNOWN words' at most
+        out[known * r["block"] // BLOCKS * wide:known * (r["block"] + 1) // BLOCKS * wide] = np.frombuffer(r["use"], np.int64)
+    return out.reshape(known, wide)
+
+
 def train_round(docs: DataFrame, model: Model, rate: float) -> np.ndarray:
     """One round over ``docs`` (codes): each task takes gradient steps from the model's weights; the changes, weighted by
     the tokens behind them, are summed by block in streams. Returns the mean change, of the weights' fixed size."""
@@ -367,24 +419,14 @@ def head_count(counts: DataFrame, head: int) -> int:
     return found if found is not None else 1 << 62
 
 
-def vocabulary(parts: DataFrame, counts: DataFrame, least: int) -> Model:
-    """An untrained model. ``parts``: ``counted`` of the training documents, frozen, and ``counts`` (word, c) its sums;
-    ``least``: the count from which a word belongs to the head."""
+def vocabulary(counts: DataFrame, least: int) -> tuple[list[bytes], np.ndarray, int, int, int]:
+    """The head's words and counts, the most frequent first, and of all training tokens their number, that of the distinct
+    ones and that of those seen once. ``counts``: (word, c); ``least``: the count from which a word belongs to the head."""
     total, distinct, once = counts.agg(F.sum("c"), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
     top = counts.filter(F.col("c") >= least).toArrow()  # at most head rows
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
-    words, c = [words[i] for i in order], c[order]
-    known = {w: i for i, w in enumerate(words[:KNOWN])}
-    use = np.zeros((len(known), 2 * NEIGHBOURS))
-    if known:
-        floor = int(c[len(known) - 1])
-        used = parts.filter("use is not null").groupBy("word").agg(*[F.sum(F.col("use")[i]).alias(f"u{i}") for i in range(2 * NEIGHBOURS)])
-        used = used.join(counts.filter(F.col("c") >= floor).select("word"), "word", "left_semi")  # but for ties, KNOWN rows
-        for r in used.toLocalIterator():
-            if (i := known.get(bytes(r[0]))) is not None:
-                use[i] = r[1:]
-    return Model(words, c, total or 0, distinct, once, use if use.any() else None)
+    return [words[i] for i in order], c[order], total or 0, distinct, once
 
 
 def fit(codes: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
@@ -410,11 +452,13 @@ def score_documents(docs: DataFrame, learn, head: int = HEAD, rounds: int = ROUN
     parts = freeze(counted(train), "lm-parts", codec="zstd")
     counts = freeze(parts.groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
     least = head_count(counts, head)
-    model = vocabulary(parts, counts, least)
     discard(parts)
+    words, *numbers = vocabulary(counts, least)
     round_of = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("slice")), F.lit(rounds))
-    codes = encoded(docs, model, F.when(F.col("learn"), round_of).otherwise(-1))
-    model = fit(codes, model, rounds)
+    codes = encoded(docs, words, F.when(F.col("learn"), round_of).otherwise(-1))
+    use = uses(codes, min(KNOWN, len(words)))
+    model = fit(codes, Model(words, *numbers, use if use.any() else None), rounds)
+    texts = codes.filter(F.col("slice") != USES)
     sent = spark.sparkContext.broadcast(vars(model))
 
     def run(batches):
@@ -424,10 +468,10 @@ def score_documents(docs: DataFrame, learn, head: int = HEAD, rounds: int = ROUN
             if got:
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(np.concatenate(x)) for x in zip(*got, strict=True))], names=["row", "doc_id", "n_tokens", "n_rare", "ln", "plus"])
 
-    scored = codes.select("row", "doc_id", "n_tokens", F.size("rare").cast("long").alias("n_rare"), "codes")
+    scored = texts.select("row", "doc_id", "n_tokens", F.size("rare").cast("long").alias("n_rare"), "codes")
     scored = freeze(scored.mapInArrow(run, "row long, doc_id long, n_tokens long, n_rare long, ln double, plus double"), "lm-scores")
-    words = codes.select("row", F.explode("rare").alias("word"))
-    joined = words.join(counts.filter(F.col("c") < least), "word", "left")
+    rare = texts.select("row", F.explode("rare").alias("word"))
+    joined = rare.join(counts.filter(F.col("c") < least), "word", "left")
     often = F.col("c") >= 2
     inner = F.when(often, F.lit(model.log_often) + F.log10("c") - F.lit(float(np.log10(max(model.often, 1.0))))).otherwise(F.lit(model.log_once))
     sums = joined.groupBy("row").agg(

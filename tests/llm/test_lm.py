@@ -84,3 +84,26 @@ def test_no_training_rows_and_no_rows(spark):
     got = lm.score_documents(docs, docs["doc_id"] > 9).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
     assert lm.score_documents(docs.limit(0), docs["doc_id"] > 0).count() == 0
+
+
+def test_neighbours_count_at_every_place_however_the_texts_are_dealt(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(150)]  # no word 32 times in a task
+    monkeypatch.setattr(lm, "KNOWN", 40)
+    seen, init = [], lm.Model.__init__
+    monkeypatch.setattr(lm.Model, "__init__", lambda self, *a: seen.append(a) or init(self, *a))
+    for tasks in (1, 30):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+        lm.score_documents(docs, lm.fold(docs["doc_id"]) != 2, head=45).collect()
+    want = {}
+    bucket = lambda w: zlib.crc32(w) % lm.NEIGHBOURS
+    for d, t in rows:
+        w = [] if held(d) else [b"", *tokens(t), b""]
+        for k in range(1, len(w) - 1):
+            use = want.setdefault(w[k], np.zeros(2 * lm.NEIGHBOURS, int))
+            use[bucket(w[k - 1])] += 1
+            use[lm.NEIGHBOURS + bucket(w[k + 1])] += 1
+    assert len(seen) == 2
+    for head, _, _, _, _, use in seen:
+        assert len(use) == 40 and all((use[i] == want[head[i]]).all() for i in range(40))
