@@ -210,7 +210,8 @@ class Model:
         return ids, features, before * CLASSES + cls
 
     def logits(self, features: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the classes, and of the slots of each token's class: (token, class), (token, slot)."""
+        """Those of the classes by ``features``, and of the slots of the class by ``rows`` and ``cls``: (token, class), (token,
+        slot). The rare class has one slot, of probability one, so its tokens need no rows."""
         z = np.take(self.weights, features[0], axis=0)
         for f in features[1:]:
             z += np.take(self.weights, f, axis=0)
@@ -230,10 +231,12 @@ class Model:
         cls, slot, value = self.cls[ids], self.slot[ids], np.empty(len(ids))
         for i in range(0, len(ids), TOKENS_A_STEP):
             part = slice(i, i + TOKENS_A_STEP)
-            z, v = self.logits(features[:, part], rows[part], cls[part])
-            at = np.arange(len(z))
-            value[part] = z[at, cls[part]] + v[at, slot[part]]
-            value[part] -= np.log(np.exp(z, out=z).sum(axis=1)) + np.log(np.exp(v, out=v).sum(axis=1))
+            inner = i + np.flatnonzero(cls[part] != TAIL)
+            z, v = self.logits(features[:, part], rows[inner], cls[inner])
+            value[part] = z[np.arange(len(z)), cls[part]]
+            value[inner] += v[np.arange(len(v)), slot[inner]]
+            value[part] -= np.log(np.exp(z, out=z).sum(axis=1))
+            value[inner] -= np.log(np.exp(v, out=v).sum(axis=1))
         value += self.inner[ids]
         return np.add.reduceat(value, first), np.add.reduceat(self.plus[ids], first)
 
@@ -244,14 +247,14 @@ class Model:
         cls, slot = self.cls[ids], self.slot[ids]
         for i in range(0, len(ids), TOKENS_A_STEP):
             part = slice(i, i + TOKENS_A_STEP)
-            both = self.logits(features[:, part], rows[part], cls[part])
-            at = np.arange(len(both[0]))
-            for z, own in zip(both, (cls, slot), strict=True):
+            inner = i + np.flatnonzero(cls[part] != TAIL)
+            both = self.logits(features[:, part], rows[inner], cls[inner])
+            for z, own in zip(both, (cls[part], slot[inner]), strict=True):
                 np.exp(z, out=z)
                 z /= z.sum(axis=1, keepdims=True)
-                z[at, own[part]] -= 1
+                z[np.arange(len(z)), own] -= 1
             self._descend(self.weights, squares[0], features[:, part], both[0], rate)
-            self._descend(self.inner_weights, squares[1], rows[None, part], both[1], rate)
+            self._descend(self.inner_weights, squares[1], rows[None, inner], both[1], rate)
 
     @staticmethod
     def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, errors: np.ndarray, rate: float) -> None:
