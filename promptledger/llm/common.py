@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,14 +67,35 @@ def trimmed(run):
 
     def inner(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's own
-        if trim:
-            trim(0)
+        _trim()
 
     return inner
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's own
+    if trim:
+        trim(0)
+
+
+def relieve(spark: SparkSession) -> None:
+    """The driver returns what memory it no longer uses. Its JVM lets the heap grow with the garbage of planning, however
+    little of it is in use, and only a full collection shrinks it again; what its compilers have freed stays with malloc."""
+    gc.collect()  # first, since what Python refers to stays in the JVM
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with suppress(Py4JJavaError):  # a JVM without this command
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        connection = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection")  # the server's own class is closed to others
+        invoke = next(m for m in connection.getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        args[0], args[1] = command, "systemTrimNativeHeap"
+        invoke.invoke(server, args)
+    _trim()
+
+
 def freeze(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one evaluation, no lineage, safe from lost executors, and no
     shuffle files left. With ``by`` (a column of few values) the table lies in a folder for each value, and a filter on it

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, columns_of, configured, discard, freeze, lookup, numbered, trimmed
+from .common import SMALL_BATCHES, columns_of, configured, discard, freeze, lookup, numbered, relieve, trimmed
 from .simhash import components, fingerprint, shingle_hashes, trie_edges, words
 
 SHINGLE, SIMILARITY, DISTANCE, LEAST = 5, 0.8, 4, 6
@@ -194,6 +194,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     links = freeze(both.select("a", "b", "x", "y").mapInArrow(trimmed(_verify), "a long, b long"), "near-links")
     discard(pairs, wanted, sets)
     sent.destroy()
+    relieve(texts.sparkSession)
     return links
 
 
@@ -233,6 +234,7 @@ def _pairs_apart(leads: DataFrame, tied: DataFrame) -> DataFrame:
     shared = held.select("row", "size", "end_n", "end_h", *ODD, "root", "prefix").mapInArrow(trimmed(some), f"row long, size long, end_n long, end_h long, {bits}root long, long long, key long")
     shared = freeze(shared.join(between, "key", "left_semi"), "near-shared")
     sent.destroy()
+    relieve(leads.sparkSession)
     counts = freeze(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-counts")
     met = lookup(shared, counts, "key", "n")
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -243,6 +245,7 @@ def _pairs_apart(leads: DataFrame, tied: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("need").alias("need")).filter("both >= need")
     pairs = freeze(pairs.select("a", "b"), "near-apart")
     discard(held, between, shared, counts, met)
+    relieve(leads.sparkSession)
     return pairs
 
 
@@ -285,7 +288,8 @@ def _neighbours(met: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_groups(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, row; row unique and the same at every reading) -> (row, first): ``first`` is the row that
     stands for the document's group, the one of its smallest doc_id, then row; null doc_ids stand last."""
-    texts = docs.select("row", "text")
+    spark, texts = docs.sparkSession, docs.select("row", "text")
+    relieve(spark)
     run = _sketches(*_frequent(texts, docs.count()))
     wide = freeze(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), SKETCH), "near-rows")
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
@@ -293,6 +297,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     leads = freeze(copies.select(F.col("lead").alias("row")).join(wide.drop("digest", "doc_id"), "row"), "near-leads")
     rows = freeze(wide.select("row", "digest"), "near-digests")
     discard(wide)
+    relieve(spark)
 
     keyed = leads.select("row", "top", F.explode("keys").alias("key"))
     firsts = freeze(keyed.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-keys")
@@ -306,13 +311,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     same = lookup(leads.select("row", "fp"), of_print.select("fp", F.col("row").alias("a"), "n"), "fp", "n").filter("a <> row").select("a", F.col("row").alias("b"))
     pairs = freeze(pairs.unionByName(close).unionByName(same).distinct(), "near-pairs")
     discard(firsts, ordered, of_print)
+    relieve(spark)
 
     links = _verified(texts, _allowed(pairs, leads))
     ties = freeze(components(links), "near-ties")
+    relieve(spark)
     more = _pairs_apart(leads, ties)
     apart = _verified(texts, more)
     tied = freeze(components(links.unionByName(apart)), "near-components")
     discard(pairs, links, ties, more, apart)
+    relieve(spark)
 
     member = copies.join(tied.withColumnRenamed("node", "lead"), "lead", "left").withColumn("root", F.coalesce("root", "lead"))
     first = F.min(F.struct(F.col("lead_id").isNull(), "lead_id", "lead")).alias("o")

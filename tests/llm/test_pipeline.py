@@ -171,3 +171,16 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
         y = neardup.np.unique(neardup.np.append(x[: n - n // 9], rng.integers(0, 1 << 62, n // 9)))
         bits = sum(int(a).bit_count() for a in (neardup._parity(x) ^ neardup._parity(y)).view("uint64"))
         assert bits <= len(neardup.np.setxor1d(x, y)) and len(neardup._parity(x)) == neardup.PARITY
+
+
+def test_the_driver_returns_heap_that_is_no_longer_used(spark):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    rows = [(i, f"the words of text {i % 7} and of no other text") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [spark.sparkContext._gateway.new_array(spark._jvm.long, 8 << 20) for _ in range(12)]
+    grown = runtime.totalMemory()
+    assert grown > 12 * (64 << 20)
+    del held
+    kept = neardup.drop_near_duplicates(docs)
+    assert runtime.totalMemory() < grown - (256 << 20)
+    assert kept.count() == 7
